@@ -106,7 +106,8 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = ((F.col("l_linenumber") + F.col("l_partkey")) % F.size("joblist") + 1).cast("int")
     outside = F.col("l_linenumber") == 7
     job = F.when(outside, F.col("l_partkey").cast("string")).otherwise(F.element_at("joblist", place))
-    return lines.join(result_lists(spark, sf_dir), "o_orderkey").select(
+    # Both sides grow with the data: shuffle them, a hot order's lines can then be split at run time.
+    return lines.join(result_lists(spark, sf_dir).hint("merge"), "o_orderkey").select(
         action.alias("action"),
         "date",
         "joblist",

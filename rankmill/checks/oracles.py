@@ -62,18 +62,16 @@ def _list_text(column: str) -> str:
     return f"array_to_string(list_transform({column}, lambda i: coalesce(CAST(i AS VARCHAR), '?')), ',')"
 
 
-def _tag(text: str) -> str:
-    return f"coalesce(length({text}) || ':' || {text}, '~')"
-
-
 def _gid() -> str:
-    parts = [_tag("source"), _tag("CAST(ms AS VARCHAR)"), _tag(_list_text("joblist"))]
+    """Digest of the keys as JSON; NULL fields are left out, NULL list items stay."""
+    params = []
     for name in PARAM_ORDER:
-        if name in LIST_PARAMS:
-            parts.append(_tag(_list_text(f"p_{name}")))
-        else:
-            parts.append(_tag(f"CAST(p_{name} AS VARCHAR)"))
-    return "md5(" + " || ".join(parts) + ")"
+        value = f"CAST(to_json(p_{name}) AS VARCHAR)"
+        params.append(f"CASE WHEN p_{name} IS NOT NULL THEN '\"{name}\":' || {value} END")
+    return (
+        "md5('{\"source\":\"' || source || '\",\"ms\":' || ms || ',\"joblist\":' || CAST(to_json(joblist) AS VARCHAR)"
+        " || ',\"query_params\":{' || concat_ws(',', " + ", ".join(params) + ") || '}}')"
+    )
 
 
 _TOKEN = r"'\p{Han}|[\p{L}\p{N}]+'"

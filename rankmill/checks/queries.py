@@ -70,7 +70,7 @@ def _ctr(spark, d):
 
 
 def _ranges(spark, d):
-    return jobs.job_date_range(_actions(spark, d), _exploded(spark, d))
+    return jobs.job_date_range(_actions(spark, d), clicks.shown_jobs(_clicks(spark, d)))
 
 
 def _jobs(spark, d):

@@ -1,4 +1,4 @@
-"""Decorator that lets one expression builder take column names as well as columns."""
+"""Helpers for expression builders."""
 
 from __future__ import annotations
 
@@ -20,3 +20,8 @@ def named(builder: Callable[..., Column]) -> Callable[..., Column]:
 
     builder.udf = functools.wraps(builder)(by_name)
     return builder
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body (or a lambda in it) uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -8,36 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
-ParamBuilder = Callable[[Column], Column]
+from rankmill.functions.expressions import bind
+from rankmill.functions.scalars import to_integer
 
+ParamBuilder = Callable[[Column], Column]
 
-def query_map(text: Column, strip_fragment: bool = True) -> Column:
-    """``map<string,string>`` of the parameters; the last value wins, blank or missing values are dropped.
 
-    A malformed percent escape makes that value NULL.
-    """
+def _entries(text: Column, strip_fragment: bool) -> Column:
+    """Decoded ``array<struct<k,v>>`` without blank or missing values."""
     if strip_fragment:
         text = F.regexp_replace(text, r"(?s)#.*$", "")
     pairs = F.filter(
         F.split(text, "&"),
         lambda p: (F.instr(p, F.lit("=")) > 0) & (F.instr(p, F.lit("=")) < F.length(p)),
     )
-    entries = F.filter(
-        F.transform(
-            pairs,
-            lambda p: F.struct(
-                F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
-                F.try_url_decode(F.substr(p, F.instr(p, F.lit("=")) + 1)).alias("v"),
-            ),
+    decoded = F.transform(
+        pairs,
+        lambda p: F.struct(
+            F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
+            F.try_url_decode(F.substr(p, F.instr(p, F.lit("=")) + 1)).alias("v"),
         ),
-        lambda e: e["k"].isNotNull(),
     )
+    return F.filter(decoded, lambda e: e["k"].isNotNull())
 
-    def keep_last(entry: Column, i: Column) -> Column:
-        later = F.slice(entries, i + 2, F.size(entries))
-        return ~F.exists(later, lambda other: other["k"] == entry["k"])
 
-    return F.map_from_entries(F.filter(entries, keep_last))
+def query_map(text: Column, strip_fragment: bool = True) -> Column:
+    """``map<string,string>`` of the parameters; the last value wins, blank or missing values are dropped.
+
+    A malformed percent escape makes that value NULL.
+    """
+
+    def to_map(entries: Column, keys: Column) -> Column:
+        # Only a repeated key makes the entries search each other.
+        n = F.size(keys)
+        last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, n), e["k"]))
+        unique = F.size(F.array_distinct(keys)) == n
+        return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
+
+    return bind(_entries(text, strip_fragment), lambda e: bind(e["k"], lambda keys: to_map(e, keys)))
 
 
 def text_param(value: Column) -> Column:
@@ -58,13 +66,13 @@ def code_param(codes: dict[str, int]) -> ParamBuilder:
 
 def int_list_param(value: Column) -> Column:
     """Comma-separated integers; missing gives an empty list, an element that is no integer gives NULL."""
-    items = F.transform(F.split(value, ","), lambda item: item.try_cast("int"))
+    items = F.transform(F.split(value, ","), lambda item: to_integer(item, "int"))
     return F.coalesce(items, F.array().cast("array<int>"))
 
 
 def int_param(value: Column) -> Column:
     """Integer; missing gives -1, text that is no integer gives NULL."""
-    return F.when(value.isNull(), F.lit(-1)).otherwise(value.try_cast("int"))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(to_integer(value, "int"))
 
 
 def flag_param(value: Column) -> Column:
@@ -107,13 +115,25 @@ class ParamRegistry:
         return StructType([StructField(name, dtype) for name, (dtype, _) in self._params.items()])
 
     def struct(self, params: Column) -> Column:
-        """Typed struct from a parameter map."""
-        return F.struct(
-            *(
-                build(F.try_element_at(params, F.lit(name))).cast(dtype).alias(name)
-                for name, (dtype, build) in self._params.items()
+        """Typed struct from a parameter map.
+
+        The map is bound once. As one bound expression the many fields also stay out of the generated row
+        loop, which would otherwise grow past what the JVM compiles.
+        """
+
+        def fields(bound: Column) -> Column:
+            return F.struct(
+                *(
+                    build(F.try_element_at(bound, F.lit(name))).cast(dtype).alias(name)
+                    for name, (dtype, build) in self._params.items()
+                )
             )
-        )
+
+        return bind(params, fields)
+
+    def parse(self, text: Column, strip_fragment: bool = True) -> Column:
+        """Typed struct straight from a query string."""
+        return self.struct(query_map(text, strip_fragment))
 
 
 # Parameter names in schema order, codes and marks.
@@ -138,6 +158,5 @@ DEFAULT_PARAMS.register("sr", IntegerType(), match_param("99"))
 def with_query_params(
     df: DataFrame, source: str = "querystring", target: str = "query_params", registry: ParamRegistry = DEFAULT_PARAMS
 ) -> DataFrame:
-    """Add the typed struct; the map is its own projection, so it is built once per row."""
-    parsed = df.withColumn("_params", query_map(F.col(source)))
-    return parsed.withColumn(target, registry.struct(F.col("_params"))).drop("_params")
+    """Add the typed struct of a query-string column."""
+    return df.withColumn(target, registry.parse(F.col(source)))

@@ -13,9 +13,17 @@ from rankmill.functions.expressions import named
 HASH_MODULUS = (1 << 61) - 1
 
 
+def to_integer(text: Column, dtype: str = "bigint") -> Column:
+    """Text to an integer type; anything that is no integer of that type gives NULL.
+
+    The pattern goes first: a failing cast raises and catches an exception, dirty logs have many of those.
+    """
+    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast(dtype))
+
+
 def epoch_to_ts(millis: Column) -> Column:
-    """Epoch milliseconds, as text or number, to a timestamp; bad text gives NULL."""
-    return F.timestamp_millis(millis.try_cast("bigint"))
+    """Epoch milliseconds as text to a timestamp; bad text gives NULL."""
+    return F.timestamp_millis(to_integer(millis))
 
 
 def day_span(start: Column, stop: Column) -> Column:

@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.functions.scalars import day_span, epoch_to_ts
+from rankmill.functions.scalars import day_span, epoch_to_ts, to_integer
 
 # Sources and actions that get columns of their own.
 SOURCES = ("web", "mobileWeb", "app")
@@ -27,7 +27,7 @@ def action_processed(log: DataFrame, row_id: Column | None = None) -> DataFrame:
     """Typed action rows. ``row_id`` identifies a row; by default the position in the scan does."""
     return log.select(
         (F.monotonically_increasing_id() if row_id is None else row_id).alias("id"),
-        F.col("jobno").try_cast("bigint").alias("jobno"),
+        to_integer(F.col("jobno")).alias("jobno"),
         epoch_to_ts(F.col("date")).alias("datetime"),
         "action",
         "source",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
+from rankmill.functions.expressions import bind
 from rankmill.functions.metrics import action_weight, score_relevance
 from rankmill.functions.querystring import DEFAULT_PARAMS, ParamRegistry, query_map, with_query_params
-from rankmill.functions.scalars import case_codes, epoch_to_ts
+from rankmill.functions.scalars import case_codes, epoch_to_ts, to_integer
 from rankmill.functions.text import tokenize
 
 IMPRESSION_KEYS = ("source", "date", "datetime", "query_params", "joblist", "tokens")
@@ -18,7 +18,7 @@ LIST_PAGE = 10_000
 
 
 def cast_array(items: Column) -> Column:
-    return F.transform(items, lambda item: item.try_cast("bigint"))
+    return F.transform(items, lambda item: to_integer(item))
 
 
 def click_processed(
@@ -30,7 +30,7 @@ def click_processed(
         "source",
         "action",
         epoch_to_ts(F.col("date")).alias("datetime"),
-        F.col("jobno").try_cast("bigint").alias("jobno"),
+        to_integer(F.col("jobno")).alias("jobno"),
         cast_array(F.col("joblist")).alias("joblist"),
         "querystring",
     ).withColumn("date", F.to_date("datetime"))
@@ -41,22 +41,13 @@ def click_processed(
     )
 
 
-def _tagged(value: Column, is_list: bool = False) -> Column:
-    # Length-prefixed, so that no two different values read alike.
-    text = F.array_join(value, ",", "?") if is_list else value.cast("string")
-    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+def impression_id() -> Column:
+    """128-bit id from the impression keys: the same on every run and on every retry of a task.
 
-
-def impression_id(processed: DataFrame) -> Column:
-    """128-bit id from the impression keys: the same on every run and on every retry of a task."""
-    params = processed.schema["query_params"].dataType.fields
-    parts = [
-        _tagged(F.col("source")),
-        _tagged(F.unix_millis("datetime")),
-        _tagged(F.col("joblist"), is_list=True),
-        *(_tagged(F.col(f"query_params.{p.name}"), isinstance(p.dataType, ArrayType)) for p in params),
-    ]
-    return F.md5(F.concat(*parts))
+    The date follows from the time, the tokens from the keyword, so neither is needed.
+    """
+    keys = F.struct("source", F.unix_millis("datetime").alias("ms"), "joblist", "query_params")
+    return F.md5(F.to_json(keys))
 
 
 def _combine_clicks(joblist: Column, clicks: Column) -> Column:
@@ -90,19 +81,22 @@ def click_grouped(processed: DataFrame) -> DataFrame:
         )
     )
     click = F.struct("job", F.col("act").alias("action"), "rel", "id")
+    parts = F.struct(
+        F.first("joblist").alias("joblist"),
+        F.collect_list(F.when(F.col("job").isNotNull(), click)).alias("clicks"),
+    )
+    # Combined inside the aggregation, so that no later filter repeats the work.
     grouped = (
-        per_job.withColumn("gid", impression_id(per_job))
+        per_job.withColumn("gid", impression_id())
         .groupBy("gid")
         .agg(
             *(F.first(key).alias(key) for key in IMPRESSION_KEYS),
             F.sum("n").alias("n_clicks"),
-            F.collect_list(F.when(F.col("job").isNotNull(), click)).alias("_clicks"),
+            bind(parts, lambda p: _combine_clicks(p["joblist"], p["clicks"])).alias("job_rel_list"),
         )
     )
-    return (
-        grouped.withColumn("job_rel_list", _combine_clicks(F.col("joblist"), F.col("_clicks")))
-        .withColumn("rel_list", F.col("job_rel_list.rel"))
-        .select("gid", *IMPRESSION_KEYS, "n_clicks", "rel_list", "job_rel_list")
+    return grouped.withColumn("rel_list", F.col("job_rel_list.rel")).select(
+        "gid", *IMPRESSION_KEYS, "n_clicks", "rel_list", "job_rel_list"
     )
 
 
@@ -112,7 +106,7 @@ def click_lists(processed: DataFrame, page_size: int = LIST_PAGE) -> DataFrame:
     Each impression normally has one row. One with more than ``page_size`` clicks is spread over
     ``n_pages`` rows by click id, so no task gathers an unbounded list and no click is left out.
     """
-    clicks = processed.select(impression_id(processed).alias("gid"), "id", "jobno", "action")
+    clicks = processed.select(impression_id().alias("gid"), "id", "jobno", "action")
     pages = (
         clicks.groupBy("gid")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -145,6 +139,14 @@ def click_exploded(grouped: DataFrame) -> DataFrame:
     ).select("*", "item.*").drop("item")
 
 
+def shown_jobs(processed: DataFrame) -> DataFrame:
+    """(job, date) of every listed job, straight from the clicks.
+
+    Every impression has a click that carries its list and date, so first and last days need no grouping.
+    """
+    return processed.select(F.explode("joblist").alias("job"), "date")
+
+
 def ctr(exploded: DataFrame, binary_click: bool = False) -> DataFrame:
     """Impressions, clicks and their ratio by (date, source, action, keyword, job).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.functions.scalars import case_codes, day_span, uuid_to_long
+from rankmill.functions.scalars import case_codes, day_span, to_integer, uuid_to_long
 from rankmill.functions.text import tokenize_to_struct
 
 # Columns of the job master with their types after the cast (None keeps the source type).
@@ -46,10 +46,10 @@ def job_processed(master: DataFrame) -> DataFrame:
     """Typed job attributes, coded working time, and the three texts with their tokens."""
     return master.select(
         "custno",
-        F.col("jobno").try_cast("int").alias("jobno"),
+        to_integer(F.col("jobno"), "int").alias("jobno"),
         *(tokenize_to_struct(F.col(name)).alias(name) for name in JOB_TEXT),
         *(
-            F.col(name) if dtype is None else F.col(name).try_cast(dtype).alias(name)
+            F.col(name) if dtype is None else to_integer(F.col(name), dtype).alias(name)
             for name, dtype in JOB_COLUMNS.items()
         ),
         case_codes(F.col("worktime"), WORKTIME_CODES).alias("worktime"),
@@ -71,15 +71,18 @@ def job_attributes(jobs: DataFrame) -> DataFrame:
     return jobs.drop(*JOB_TEXT).withColumn("custno", uuid_to_long(F.col("custno")))
 
 
-def job_date_range(actions: DataFrame, exploded: DataFrame) -> DataFrame:
-    """First and last day of every job seen in both logs, per log and overall."""
+def job_date_range(actions: DataFrame, shown: DataFrame) -> DataFrame:
+    """First and last day of every job seen in both logs, per log and overall.
+
+    ``shown`` holds (job, date) of listed jobs: exploded impressions, or ``shown_jobs`` of the clicks.
+    """
     acted = actions.groupBy("jobno").agg(
         F.min("date").alias("action_date_start"), F.max("date").alias("action_date_stop")
     )
-    shown = exploded.groupBy(F.col("job").alias("jobno")).agg(
+    listed = shown.groupBy(F.col("job").alias("jobno")).agg(
         F.min("date").alias("click_date_start"), F.max("date").alias("click_date_stop")
     )
-    return acted.join(shown, "jobno").withColumns(
+    return acted.join(listed, "jobno").withColumns(
         {
             "date_start": F.least("action_date_start", "click_date_start"),
             "date_stop": F.greatest("action_date_stop", "click_date_stop"),
