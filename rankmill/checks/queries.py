@@ -17,7 +17,7 @@ from rankmill.plans import dataset as ds
 from rankmill.plans import export
 from rankmill.plans.features import date_window, features
 from rankmill.sources import catalog
-from rankmill.sources.scratch import scratch_path
+from rankmill.sources.scratch import keep, scratch_path
 from rankmill.sources.tables import TableSpec, read_table, read_through, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,12 +85,20 @@ def _docs(spark, d):
     return jobs.job_company(_jobs(spark, d), _companies(spark, d))
 
 
+def _index(spark, d):
+    return keep(textscore.field_tokens(_docs(spark, d)), "token-index")
+
+
+def _testset_rows(spark, d):
+    return keep(clicks.testset_processed(raw.testset_log(spark, d)), "testset-processed")
+
+
 def _features(spark, d, start=TRAIN_START, stop=TRAIN_STOP, rates=None):
     return features(_unstacked(spark, d), _ranges(spark, d), _jobs(spark, d), start, stop, rates)
 
 
 def _labels(spark, d, start, stop):
-    return ds.click_labels(_clicks(spark, d), _docs(spark, d), start, stop)
+    return ds.click_labels(_clicks(spark, d), _index(spark, d), start, stop)
 
 
 def _dataset(spark, d, start=TRAIN_START, stop=TRAIN_STOP):
@@ -99,7 +107,7 @@ def _dataset(spark, d, start=TRAIN_START, stop=TRAIN_STOP):
 
 
 def _testset(spark, d):
-    labels = ds.testset_labels(clicks.testset_processed(raw.testset_log(spark, d)), _docs(spark, d))
+    labels = ds.testset_labels(_testset_rows(spark, d), _index(spark, d))
     return ds.dataset(labels, _features(spark, d), TRAIN_START, TRAIN_STOP)
 
 
@@ -564,16 +572,16 @@ def tokenize(spark, d):
 
 @query
 def postings(spark, d):
-    return textscore.postings(_jobs(spark, d))
+    return textscore.postings(textscore.field_tokens(_jobs(spark, d)))
 
 
 @query
 def idf_table(spark, d):
-    return _flat(textscore.idf_table(_jobs(spark, d)))
+    return _flat(textscore.idf_table(keep(textscore.field_tokens(_jobs(spark, d)))))
 
 
 def _scored_lists(spark, d):
-    return textscore.text_field_scores(clicks.testset_processed(raw.testset_log(spark, d)), _docs(spark, d))
+    return textscore.text_field_scores(_testset_rows(spark, d), _index(spark, d))
 
 
 @query

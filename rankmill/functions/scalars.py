@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankmill.functions.expressions import named
+from rankmill.functions.expressions import bind, named
 
 # Fixed value: modulus 2^61 - 1 of a numeric hash over 128-bit integers.
 HASH_MODULUS = (1 << 61) - 1
@@ -53,22 +53,50 @@ def uuid_to_long(text: Column) -> Column:
 
 def float_text(value: Column) -> Column:
     """Shortest decimal text: plain from 1e-4 up to 1e16, otherwise ``1.5e+16`` / ``1e-05`` form."""
-    value = value.cast("double")
-    size = F.abs(value)
-    native = value.cast("string")
-
-    def plain(scale: int) -> Column:
-        digits = F.rtrim(value.cast(f"decimal(38,{scale})").cast("string"), F.lit("0"))
-        return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-
-    mantissa = F.regexp_replace(F.substring_index(native, "E", 1), r"\.0$", "")
-    power = F.substring_index(native, "E", -1).try_cast("int")
-    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    digits = F.abs(power).cast("string")
-    scientific = F.concat(mantissa, sign, F.when(F.length(digits) < 2, F.lit("0")).otherwise(F.lit("")), digits)
-    return (
-        F.when(~native.contains("E"), native)
-        .when((size >= 1e7) & (size < 1e16), plain(18))
-        .when((size >= 1e-4) & (size < 1e-3), plain(22))
-        .otherwise(scientific)
-    )
+
+    def render(v: Column) -> Column:
+        native = v.cast("string")
+        easy = ~native.contains("E") & (F.length(native) < 18)
+        return F.when(easy, native).otherwise(bind(native, lambda text: _rare_float_text(v, text)))
+
+    return bind(value.cast("double"), render)
+
+
+def _rounded_text(value: Column, digits: int) -> Column:
+    """``d.dddE+n`` with so many digits; whole numbers that a long holds are rounded from all their digits."""
+    whole = F.abs(value).try_cast("bigint").cast("decimal(20,0)")
+    length = F.length(whole.cast("string"))
+    rounded = F.when(length == 17, F.round(whole, digits - 17)).when(length == 18, F.round(whole, digits - 18))
+    text = rounded.otherwise(F.round(whole, digits - 19)).cast("decimal(20,0)").cast("string")
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    spelled = F.concat(
+        sign, F.substr(text, F.lit(1), F.lit(1)), F.lit("."), F.substr(text, F.lit(2)), F.lit("E"),
+        (F.length(text) - 1).cast("string"),
+    )
+    is_whole = (F.abs(value) >= 1e16) & (F.abs(value) < 9e18)
+    return F.when(is_whole, spelled).otherwise(F.upper(F.format_string(f"%.{digits - 1}e", value)))
+
+
+def _rare_float_text(value: Column, native: Column) -> Column:
+    # From 17 digits on the JVM's text is not always the shortest that reads back as the same number.
+    exact = F.when(F.length(native) < 18, native)
+    for digits in (15, 16, 17):
+        shorter = _rounded_text(value, digits)
+        exact = exact.when(shorter.cast("double") == value, shorter)
+    exact = exact.otherwise(native)
+
+    def render(text: Column) -> Column:
+        plain = F.rtrim(text.cast("decimal(38,22)").cast("string"), F.lit("0"))
+        plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+        mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.?0*$", "")
+        power = F.substring_index(text, "E", -1).cast("int")
+        digits = F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0"))
+        scientific = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), digits)
+        size = F.abs(value)
+        return (
+            F.when(~text.contains("E"), text)
+            .when((size >= 1e-4) & (size < 1e16), plain)
+            .otherwise(scientific)
+        )
+
+    return bind(exact, render)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.sources.scratch import cut_lineage
+from rankmill.sources.scratch import keep
 
 # Groups with more rows than this are ranked across partitions instead of in one window partition.
 MAX_GROUP = 100_000
@@ -40,14 +40,14 @@ def running_totals(
 
     Exact copies of a row are counted first, so no run of copies can fill one slice; the other columns
     break remaining ties. The cells are range-partitioned by the order, summed inside each slice and
-    shifted by the total of the slices before. The slices are checkpointed, so both passes see the same
+    shifted by the total of the slices before. The slices are written out, so both passes see the same
     boundaries. Columns must be of types Spark can group by.
     """
     partitions = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = list(totals)
     order = [*order_by, *map(F.col, df.columns)]
     cells = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    slices = cut_lineage(
+    slices = keep(
         cells.withColumns({f"_w_{name}": weight for name, weight in totals.items()})
         .repartitionByRange(partitions, *order)
         .withColumn("_slice", F.spark_partition_id())
@@ -95,7 +95,7 @@ def split_hot(df: DataFrame, group: str, max_group: int = MAX_GROUP) -> tuple[Da
     hot = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group).select(group)
     if hot.isEmpty():
         return df, None
-    hot = cut_lineage(hot)
+    hot = keep(hot)
     return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
 
 

@@ -1,4 +1,6 @@
-"""Text-match scores of listed jobs against the query tokens, from an inverted index kept as a table.
+"""Text-match scores of listed jobs against the query tokens, from a token index kept as a table.
+
+The index (``field_tokens``) is read by several steps: build it once and store it.
 
 A field holds a set of tokens, so a match scores the token's inverse document frequency in that field,
 ``ln(1 + (N - df + 0.5) / (df + 0.5))``; a token given twice in the query counts twice.
@@ -21,7 +23,10 @@ SCORE_COLUMNS = tuple(map(score_column, TEXT_FIELDS))
 
 
 def field_tokens(docs: DataFrame, key: str = "jobno") -> DataFrame:
-    """Long form: one row per (job, field) that has tokens, each token once."""
+    """The index: one row (job, field, tokens) per text that has tokens, each token once.
+
+    ``key`` must be unique in ``docs``.
+    """
     present = [name for name in TEXT_FIELDS if name in docs.columns]
     stacked = F.explode(
         F.array(
@@ -38,29 +43,29 @@ def field_tokens(docs: DataFrame, key: str = "jobno") -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, key: str = "jobno") -> DataFrame:
-    """Inverted index: distinct (field, job, token). The key must be unique in ``docs``."""
-    return field_tokens(docs, key).select("field", "job", F.explode("tokens").alias("token"))
+def postings(index: DataFrame) -> DataFrame:
+    """Distinct (field, job, token)."""
+    return index.select("field", "job", F.explode("tokens").alias("token"))
 
 
-def idf_table(docs: DataFrame, key: str = "jobno", vocabulary: DataFrame | None = None) -> DataFrame:
-    """(field, token, df, idf); with ``vocabulary`` only for those tokens."""
-    entries = postings(docs, key)
+def idf_table(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(field, token, df, idf); with ``vocabulary(token)`` only for those tokens."""
+    entries = postings(index)
     if vocabulary is not None:
         entries = entries.join(vocabulary, "token", "left_semi")
     frequency = entries.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     # One row per field: at most len(TEXT_FIELDS) rows, so the broadcast cannot grow with the data.
-    sizes = field_tokens(docs, key).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = index.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))
     rare = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     return frequency.join(F.broadcast(sizes), "field").select("field", "token", "df", F.log1p(rare).alias("idf"))
 
 
-def weighted_docs(docs: DataFrame, vocabulary: DataFrame, key: str = "jobno") -> DataFrame:
+def weighted_docs(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Per job one ``token -> idf`` map per field (``idf_<field>``), cut to the tokens any query uses."""
-    weights = idf_table(docs, key, vocabulary).select("field", "token", "idf")
+    weights = idf_table(index, vocabulary).select("field", "token", "idf")
     entry = F.struct("token", "idf")
     return (
-        postings(docs, key)
+        postings(index)
         .join(weights, ["field", "token"])
         .groupBy("job")
         .agg(
@@ -83,14 +88,14 @@ def _field_score(tokens: Column, weights: Column) -> Column:
     )
 
 
-def text_field_scores(lists: DataFrame, docs: DataFrame, key: str = "jobno") -> DataFrame:
+def text_field_scores(lists: DataFrame, index: DataFrame) -> DataFrame:
     """Eight scores per (gid, pos_in_list, job) for ``lists(gid, joblist, tokens)``; no match scores 0.
 
-    The index is joined once per job, not once per token: its side holds one row per job, so a popular
+    ``lists`` is read twice, so it should be stored. The index is joined once per job, not once per token: its side holds one row per job, so a popular
     job only makes the list side large, which adaptive execution can split.
     """
     vocabulary = lists.select(F.explode("tokens").alias("token")).distinct()
-    weights = weighted_docs(docs, vocabulary, key)
+    weights = weighted_docs(index, vocabulary)
     positions = lists.select("gid", "tokens", F.posexplode("joblist").alias("pos_in_list", "job"))
     return positions.join(weights, "job", "left").select(
         "gid",
@@ -100,9 +105,12 @@ def text_field_scores(lists: DataFrame, docs: DataFrame, key: str = "jobno") ->
     )
 
 
-def with_text_scores(grouped: DataFrame, docs: DataFrame, key: str = "jobno") -> DataFrame:
-    """Add ``text_score`` to every item of ``job_rel_list``, matched by list position."""
-    scores = text_field_scores(grouped.select("gid", "joblist", "tokens"), docs, key)
+def with_text_scores(grouped: DataFrame, index: DataFrame) -> DataFrame:
+    """Add ``text_score`` to every item of ``job_rel_list``, matched by list position.
+
+    ``grouped`` is read several times, so it should be stored.
+    """
+    scores = text_field_scores(grouped.select("gid", "joblist", "tokens"), index)
     per_list = scores.groupBy("gid").agg(
         F.array_sort(
             F.collect_list(F.struct("pos_in_list", F.struct(*SCORE_COLUMNS).alias("text_score")))

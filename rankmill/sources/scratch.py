@@ -17,15 +17,10 @@ _SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; sets one only where none is configured."""
     configured = spark.conf.get(_SETTING, None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    active = spark.sparkContext.getCheckpointDir()
-    if active is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankmill-"))
-        active = spark.sparkContext.getCheckpointDir()
-    return active.rstrip("/")
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="rankmill-")
+        spark.conf.set(_SETTING, configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +28,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rankmill-{uuid.uuid4().hex}/{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, and later reads see one fixed evaluation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def keep(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For a result that several later steps read: it is computed once, its columns can still be pruned, and a
+    lost executor never brings back the work before it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
