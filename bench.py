@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from rankmill.checks.queries import all_queries
 
-QUERIES = ("features_window", "dataset", "text_field_scores", "ctr", "ndcg_prediction")
+QUERIES = ("features", "dataset", "text_field_scores", "ctr", "ndcg_prediction")
 
 
 def main() -> None:

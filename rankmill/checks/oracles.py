@@ -436,7 +436,7 @@ def oracle_sql() -> dict[str, str]:
             FROM test_features""",
         "sink_dynamic_overwrite": f"""SELECT {_dates("date")}, source, action, jobno,
             CASE WHEN date = DATE '{TEST_START}' THEN n * 100 ELSE n END AS "count" FROM counts""",
-        "read_through_features": f"""SELECT jobno, viewJob_total, web_total, open_days,
+        "read_through": f"""SELECT jobno, viewJob_total, web_total, open_days,
             {_dates("start_date", "stop_date")} FROM train_features""",
         "to_libsvm_lines": f"""SELECT gid, pos_in_list, {_LINE} || ' # gid:' || gid || ' job:' || job AS value
             FROM train_set""",
@@ -463,7 +463,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE p_keyword IS NULL""",
         "no_keyword_top": """SELECT id AS click_id, CAST(jobno AS VARCHAR) AS jobno, action FROM click_rows
             WHERE p_keyword IS NULL ORDER BY id, CAST(jobno AS VARCHAR), action LIMIT 10""",
-        "split_x": "SELECT gid, pos_in_list, "
+        "split_xy": "SELECT gid, pos_in_list, "
         + _join(f"{_number(n)} AS \"{n}\"" if n in _RATIOS + _SCORES else f'"{n}"' for n in _EXPORTED)
         + " FROM train_set",
         "split_y": "SELECT gid, pos_in_list, rel FROM train_set",
@@ -537,7 +537,7 @@ def oracle_sql() -> dict[str, str]:
         "job_company": """SELECT j.custno, jobno, job, name, invoice
             FROM job_rows j LEFT JOIN company_rows c ON j.custno = c.custno""",
         "uuid_to_long": "SELECT CAST(jobno AS VARCHAR) AS jobno, custno_long AS custno FROM job_rows",
-        "features_window": f"SELECT * REPLACE ({_FEATURE_REPLACE}, {_FEATURE_DATES}) FROM train_features",
+        "features": f"SELECT * REPLACE ({_FEATURE_REPLACE}, {_FEATURE_DATES}) FROM train_features",
         "features_with_ctr": "SELECT jobno, viewJob_total, open_days, "
         + _rounded(f'"CTR_{a}"' for a in ("clickApply", "clickSave", "clickJob"))
         + " FROM train_features LEFT JOIN ctr_columns USING (jobno)",

@@ -30,7 +30,8 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _REGISTRY[fn.__name__] = fn
+    """Register a query under its function name; a trailing underscore avoids a clash with an import."""
+    _REGISTRY[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -208,7 +209,7 @@ def sink_dynamic_overwrite(spark, d):
 
 
 @query
-def read_through_features(spark, d):
+def read_through_(spark, d):
     base = scratch_path(spark, "tables")
     keys = {"start_date": TRAIN_START, "stop_date": TRAIN_STOP}
 
@@ -328,7 +329,7 @@ def no_keyword_top(spark, d):
 
 
 @query
-def split_x(spark, d):
+def split_xy(spark, d):
     return _flat(ds.split_xy(_dataset(spark, d))[1])
 
 
@@ -465,7 +466,8 @@ def keyword_impressions(spark, d):
 
 @query
 def testset_exploded(spark, d):
-    frame = clicks.testset_exploded(clicks.testset_processed(raw.testset_log(spark, d)))
+    lists = clicks.testset_lists(clicks.testset_processed(raw.testset_log(spark, d)))
+    frame = clicks.testset_exploded(lists)
     return _flat(frame.withColumn("keyword", F.col("query_params.keyword")).drop("query_params"))
 
 
@@ -513,7 +515,7 @@ def uuid_to_long(spark, d):
 
 
 @query
-def features_window(spark, d):
+def features_(spark, d):
     return _flat(_features(spark, d))
 
 

@@ -234,11 +234,21 @@ def testset_processed(log: DataFrame, registry: ParamRegistry = DEFAULT_PARAMS)
     return with_query_params(typed, registry=registry).withColumn("tokens", tokenize(F.col("query_params.keyword")))
 
 
-def testset_exploded(processed: DataFrame) -> DataFrame:
-    """One row per (test query, position), relevance 0."""
-    return processed.select(
-        "gid",
-        "query_params",
-        "tokens",
-        F.posexplode("joblist").alias("pos_in_list", "job"),
-    ).withColumn("rel", F.lit(0).cast("bigint"))
+def testset_lists(processed: DataFrame) -> DataFrame:
+    """Test queries with ``job_rel_list`` as impressions have it; relevance is unknown, so 0."""
+    item = F.transform(
+        "joblist",
+        lambda job: F.struct(job.alias("job"), F.lit(0).cast("bigint").alias("rel"), F.lit("").alias("action")),
+    )
+    return processed.withColumn("job_rel_list", item)
+
+
+def testset_exploded(lists: DataFrame) -> DataFrame:
+    """One row per (test query, position); text scores follow if the list carries them."""
+    return (
+        lists.select(
+            "gid", "query_params", "tokens", F.posexplode("job_rel_list").alias("pos_in_list", "item")
+        )
+        .select("*", "item.*")
+        .drop("item", "action")
+    )

@@ -108,6 +108,7 @@ def text_field_scores(lists: DataFrame, index: DataFrame) -> DataFrame:
 def with_text_scores(grouped: DataFrame, index: DataFrame) -> DataFrame:
     """Add ``text_score`` to every item of ``job_rel_list``, matched by list position.
 
+    Only ids, lists and tokens go through the scoring shuffles; the wide rows move once, unexploded.
     ``grouped`` is read several times, so it should be stored.
     """
     scores = text_field_scores(grouped.select("gid", "joblist", "tokens"), index)
