@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle a table by ``key`` if its files scan in fewer tasks than the session has cores.
+
+    Row-wise parsing follows; a large table has splits enough and is left alone.
+    """
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _pick(value: Column, *choices: str) -> Column:
     """Choice number ``value``; the last one for anything beyond."""
     picked = F
@@ -76,7 +87,7 @@ def _query_string(k: Column, keyword: Column) -> Column:
 
 def result_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shown result list per order: 1 to 13 item numbers, some lists repeating one item."""
-    orders = table(spark, sf_dir, "orders")
+    orders = _spread(table(spark, sf_dir, "orders"), "o_orderkey")
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("o_custkey"), "p_name")
     k = F.col("o_orderkey")
     keyword = F.concat(F.col("p_name"), F.lit(" "), F.expr("substr(o_orderpriority, 3)"))
