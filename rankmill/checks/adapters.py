@@ -149,7 +149,7 @@ def job_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(modulus: int) -> Column:
         return (k % modulus).cast("string")
 
-    return table(spark, sf_dir, "part").select(
+    return _spread(table(spark, sf_dir, "part"), "p_partkey").select(
         _uuid_of(F.floor(k / 20)).alias("custno"),
         k.cast("string").alias("jobno"),
         F.col("p_type").alias("description"),
@@ -191,7 +191,7 @@ def company_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_suppkey"), "text")
     empty = F.lit(None).cast("string")
     return (
-        table(spark, sf_dir, "supplier")
+        _spread(table(spark, sf_dir, "supplier"), "s_suppkey")
         .join(texts, "s_suppkey", "left")
         .select(
             _uuid_of(F.col("s_suppkey")).alias("custno"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.functions.expressions import bind
+
 # Searched fields, in output order.
 TEXT_FIELDS = ("description", "job", "others", "management", "name", "product", "profile", "welfare")
 
@@ -61,31 +63,28 @@ def idf_table(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
 
 
 def weighted_docs(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Per job one ``token -> idf`` map per field (``idf_<field>``), cut to the tokens any query uses."""
+    """Per job one map ``token -> struct of idf by field``, cut to the tokens any query uses."""
     weights = idf_table(index, vocabulary).select("field", "token", "idf")
-    entry = F.struct("token", "idf")
-    return (
+    by_token = (
         postings(index)
         .join(weights, ["field", "token"])
-        .groupBy("job")
-        .agg(
-            *(
-                F.map_from_entries(F.collect_set(F.when(F.col("field") == name, entry))).alias(f"idf_{name}")
-                for name in TEXT_FIELDS
-            )
-        )
+        .groupBy("job", "token")
+        .agg(*(F.max(F.when(F.col("field") == name, F.col("idf"))).alias(score_column(name)) for name in TEXT_FIELDS))
     )
+    entry = F.struct("token", F.struct(*SCORE_COLUMNS))
+    # Bounded by the tokens of one job's texts.
+    return by_token.groupBy("job").agg(F.map_from_entries(F.collect_list(entry)).alias("weights"))
 
 
-def _field_score(tokens: Column, weights: Column) -> Column:
-    return F.coalesce(
-        F.aggregate(
-            tokens,
-            F.lit(0.0),
-            lambda total, token: total + F.coalesce(F.try_element_at(weights, token), F.lit(0.0)),
-        ),
-        F.lit(0.0),
-    )
+def _score_struct(tokens: Column, weights: Column) -> Column:
+    """Eight sums over the query tokens; the map is searched once per token."""
+    hits = F.filter(F.transform(tokens, lambda token: F.try_element_at(weights, token)), lambda hit: hit.isNotNull())
+
+    def total(found: Column, name: str) -> Column:
+        added = F.aggregate(found, F.lit(0.0), lambda acc, hit: acc + F.coalesce(hit[name], F.lit(0.0)))
+        return F.coalesce(added, F.lit(0.0)).alias(name)
+
+    return bind(hits, lambda found: F.struct(*(total(found, name) for name in SCORE_COLUMNS)))
 
 
 def text_field_scores(lists: DataFrame, index: DataFrame) -> DataFrame:
@@ -97,12 +96,10 @@ def text_field_scores(lists: DataFrame, index: DataFrame) -> DataFrame:
     vocabulary = lists.select(F.explode("tokens").alias("token")).distinct()
     weights = weighted_docs(index, vocabulary)
     positions = lists.select("gid", "tokens", F.posexplode("joblist").alias("pos_in_list", "job"))
-    return positions.join(weights, "job", "left").select(
-        "gid",
-        "pos_in_list",
-        "job",
-        *(_field_score(F.col("tokens"), F.col(f"idf_{name}")).alias(score_column(name)) for name in TEXT_FIELDS),
+    scored = positions.join(weights, "job", "left").select(
+        "gid", "pos_in_list", "job", _score_struct(F.col("tokens"), F.col("weights")).alias("text_score")
     )
+    return scored.select("gid", "pos_in_list", "job", "text_score.*")
 
 
 def with_text_scores(grouped: DataFrame, index: DataFrame) -> DataFrame:
