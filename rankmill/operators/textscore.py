@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.functions.expressions import bind
+from rankmill.sources.scratch import keep
 
 # Searched fields, in output order.
 TEXT_FIELDS = ("description", "job", "others", "management", "name", "product", "profile", "welfare")
@@ -50,11 +51,10 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("field", "job", F.explode("tokens").alias("token"))
 
 
-def idf_table(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(field, token, df, idf); with ``vocabulary(token)`` only for those tokens."""
-    entries = postings(index)
-    if vocabulary is not None:
-        entries = entries.join(vocabulary, "token", "left_semi")
+def idf_table(index: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(field, token, df, idf) of the postings of the index, or of ``entries``, those of some tokens only."""
+    if entries is None:
+        entries = postings(index)
     frequency = entries.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     # One row per field: at most len(TEXT_FIELDS) rows, so the broadcast cannot grow with the data.
     sizes = index.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -63,11 +63,14 @@ def idf_table(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
 
 
 def weighted_docs(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Per job one map ``token -> struct of idf by field``, cut to the tokens any query uses."""
-    weights = idf_table(index, vocabulary).select("field", "token", "idf")
+    """Per job one map ``token -> struct of idf by field``, cut to the tokens any query uses.
+
+    The postings of those tokens are written once: counting and weighting both read them.
+    """
+    entries = keep(postings(index).join(vocabulary, "token", "left_semi"), "matching-postings")
+    weights = idf_table(index, entries).select("field", "token", "idf")
     by_token = (
-        postings(index)
-        .join(weights, ["field", "token"])
+        entries.join(weights, ["field", "token"])
         .groupBy("job", "token")
         .agg(*(F.max(F.when(F.col("field") == name, F.col("idf"))).alias(score_column(name)) for name in TEXT_FIELDS))
     )
