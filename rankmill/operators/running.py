@@ -87,6 +87,46 @@ def number_rows(
     return running_totals(df, order_by, {name: F.lit(1).cast("bigint")}, num_partitions)
 
 
+def group_rank(
+    df: DataFrame,
+    groups: Sequence[str],
+    order_by: Sequence[Column],
+    name: str = "rank",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add the 1-based rank of each row inside its group, whatever the size of the group; NULL is a group.
+
+    The rows are range-partitioned by (group, order) and numbered inside (slice, group). Only a group that
+    goes on from the slice before needs an offset, so at most two (slice, group) pairs a slice are broadcast.
+    ``order_by`` should be total: rows that tie in all of it stay in one slice.
+    """
+    partitions = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in groups]
+    slices = keep(
+        df.repartitionByRange(partitions, *keys, *order_by).withColumn("_slice", F.spark_partition_id()), "slices"
+    )
+    group = F.struct(*groups)
+    ends = slices.groupBy("_slice").agg(F.max(group).alias("_group")).select("_group").distinct()
+    # Bounded: each slice ends with one group, and lies inside or begins with at most one that ended before.
+    parts = (
+        slices.select("_slice", group.alias("_group"))
+        .join(F.broadcast(ends.withColumnRenamed("_group", "_end")), F.col("_group").eqNullSafe(F.col("_end")))
+        .groupBy("_slice", "_group")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        F.col("_slice").alias("_s"), F.col("_group").alias("_g"), F.sum("_n").over(earlier).alias("_before")
+    ).where("_before > 0")
+    inside = Window.partitionBy("_slice", *groups).orderBy(*order_by)
+    on = (F.col("_slice") == F.col("_s")) & group.eqNullSafe(F.col("_g"))
+    return (
+        slices.withColumn("_inside", F.row_number().over(inside).cast("bigint"))
+        .join(F.broadcast(offsets), on, "left")
+        .select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(name))
+    )
+
+
 def split_hot(df: DataFrame, group: str, max_group: int = MAX_GROUP) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of groups beyond ``max_group`` (None if there are none).
 
