@@ -25,10 +25,12 @@ WINDOW = 13
 
 def _packed(part: np.ndarray, tag: np.ndarray, position: np.ndarray, owner: np.ndarray, ids: np.ndarray, kind: int):
     """A row for each part: its tags, positions, and runs of one document."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part, tag, position, owner = part[order], tag[order], position[order], owner[order]
-    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, int)
-    wide = "<u4" if len(position) and position.max() > 0xFFFF else "<u2"
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    wide = "<u4" if position.max() > 0xFFFF else "<u2"
     for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
         if kind == 0:
             yield int(part[a]), 0, np.unique(tag[a:b]).tobytes(), b"", b"", b""
@@ -67,6 +69,8 @@ def _prober(block: int, parts: int):
                         (found.text[begins] + texts.first).astype(np.uint32),
                     )
                 )
+            if not taken:
+                continue
             part, tag, position, owner = (np.concatenate(x) for x in zip(*taken, strict=True))
             aligned = position % block == 0
             index = _packed(part[aligned], tag[aligned], position[aligned], owner[aligned], ids, 0)
