@@ -126,37 +126,43 @@ def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _logistic(row, feature, value, y, weight, steps=150, rate=0.5, decay=1e-5):
-    """Weights of a logistic regression by Adam over the whole sample."""
-    n = len(y)
-    # Mean values are small; scaling by the root mean square makes all features move alike.
-    scale = np.sqrt(np.bincount(feature, value**2, 1 << BITS) / n) + 1e-4
-    value = value / scale[feature]
-    w, bias = np.zeros(1 << BITS), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    rate = rate / np.sqrt(max(1.0, len(value) / max(n, 1)))
+def _logistic(row, feature, value, y, weight, steps=200, rate=1.0, decay=1e-6):
+    """Weights of a logistic regression with shrinkage, by Adam over the whole sample.
+
+    An n-gram in fewer than one of a hundred sampled texts has no weight.
+    """
+    n, size = len(y), 1 << BITS
+    usable = (np.bincount(feature, minlength=size) >= max(2, n // 100))[feature]
+    row, feature, value = row[usable], feature[usable], value[usable]
+    w, bias = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
         z = np.bincount(row, value * w[feature], n) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(feature, value * error[row], 1 << BITS) + decay * w
+        g = np.bincount(feature, value * error[row], size) + decay * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.99**step
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-10)
-        bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-10)
-    return w / scale, bias
+        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
+        bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
+    return w, bias
 
 
-def _platt(margin, y, steps=50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through held-out margins, by Newton steps with a weak prior."""
+def _platt(margin, y, steps=100) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through held-out margins, by Newton steps.
+
+    The targets are those of Platt: a little inside 0 and 1, the more so the fewer rows there are.
+    """
+    positive = y.sum()
+    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
     x = np.column_stack((margin, np.ones_like(margin)))
-    center = np.array([1.0, 0.0])
-    p = center.copy()
+    p = np.array([0.0, 0.0])
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        hessian = x.T @ (x * (q * (1 - q) + 1e-9)[:, None]) + 1e-2 * np.eye(2)
-        p -= np.linalg.solve(hessian, x.T @ (q - y) + 1e-2 * (p - center))
+        hessian = x.T @ (x * (q * (1 - q) + 1e-6)[:, None]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (q - target))
+        p -= step * min(1.0, 1.0 / (np.abs(step).max() + 1e-12))
     return max(float(p[0]), 1e-3), float(p[1])
 
 
