@@ -21,9 +21,9 @@ from rankmill.llm.words import Texts, Words, slices, words
 
 BITS = 18
 # Labelled rows of each class that the model is fitted on.
-SAMPLE = 2000
+SAMPLE = 3000
 # A word in fewer sampled documents has no weight.
-MIN_DOCUMENTS = 4
+MIN_DOCUMENTS = 3
 
 # Bytes between words: all ASCII but letters and digits. Bytes that end a sentence.
 _BETWEEN = np.array([not (b >= 0x80 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
