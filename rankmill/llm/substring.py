@@ -40,12 +40,23 @@ def _packed(part: np.ndarray, tag: np.ndarray, position: np.ndarray, owner: np.n
             int(part[a]),
             1,
             tag[a:b].tobytes(),
-            position[a:b].astype(wide).tobytes(),
+            _steps(position[a:b].astype(wide)),
             ids[owner[a:b][run]].tobytes(),
             np.diff(np.append(run, b - a)).astype("<u4").tobytes(),
         )
 
 
+def _steps(positions: np.ndarray) -> bytes:
+    """Differences, all low bytes first: they are small, so the high bytes take next to nothing in a shuffle."""
+    return np.diff(positions, prepend=positions.dtype.type(0)).view(np.uint8).reshape(len(positions), -1).T.tobytes()
+
+
+def _places(steps: bytes, n: int) -> np.ndarray:
+    wide = len(steps) // n
+    planes = np.frombuffer(steps, np.uint8).reshape(wide, n).T.copy()
+    return np.cumsum(planes.view(f"<u{wide}").ravel(), dtype=f"<u{wide}").astype(np.int64)
+
+
 _PACKED = "part int, kind int, tags binary, positions binary, ids binary, runs binary"
 
 
@@ -120,10 +131,10 @@ class _Index:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, positions) of windows that hit a block; rows come sorted by part, blocks before probes."""
+    """(id, position) of windows that hit a block; rows come sorted by part, blocks before probes."""
     index = None
     for batch in batches:
-        ids, lists = [], []
+        ids, places = [], []
         for part, kind, tags, positions, owners, runs in zip(*batch.columns, strict=True):
             if index is None or index.part != part.as_py():
                 index = _Index(part.as_py())
@@ -131,18 +142,15 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.add(tags.as_py())
                 continue
             tags = np.frombuffer(tags.as_py(), "<u4")
-            positions = positions.as_py()
-            positions = np.frombuffer(positions, "<u2" if len(positions) == 2 * len(tags) else "<u4").astype(np.int64)
+            positions = _places(positions.as_py(), len(tags))
             owner = np.repeat(np.frombuffer(owners.as_py(), "<i8"), np.frombuffer(runs.as_py(), "<u4"))
             hit, place = index.hits(tags, owner, positions)
-            order = np.argsort(hit, kind="stable")
-            hit, place = hit[order], place[order]
-            starts = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1]))) if len(hit) else []
-            ids.extend(hit[starts].tolist())
-            lists.extend(np.split(place, starts[1:]) if len(hit) else [])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "positions"]
-        )
+            ids.append(hit)
+            places.append(place)
+        if ids:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in (ids, places)], names=["id", "position"]
+            )
 
 
 def _extender(window: int, block: int):
@@ -218,10 +226,10 @@ def repeated_windows(rows: DataFrame, window: int, num_partitions: int | None =
     matched = (
         probes.repartition(parts, "part")
         .sortWithinPartitions("part", "kind")
-        .mapInArrow(_match, "id bigint, positions array<bigint>")
+        .mapInArrow(_match, "id bigint, position bigint")
     )
     # Bounded by the words of the document.
-    hits = keep(matched.groupBy("id").agg(F.flatten(F.collect_list("positions")).alias("hits")), "hits")
+    hits = keep(matched.groupBy("id").agg(F.collect_list("position").alias("hits")), "hits")
     around = keep(
         rows.join(hits, "id").select("id", "text", "hits").mapInArrow(_extender(window, block), "g bigint, id bigint"),
         "windows",
