@@ -264,22 +264,20 @@ def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, thresho
         F.min("cell").alias("cell"), F.min("_first").alias("_first")
     )
     rows = known.join(unsettled.select("cell", "_first"), "cell").where("id <> _first").drop("_first")
-    ranked = group_rank(rows, ["cell"], [F.col("id")], "_rank")
-    # Every pair of blocks of a cell, a block with itself too; a row goes to as many as its cell has blocks.
-    block = F.floor((F.col("_rank") - 1) / BLOCK)
-    last = ranked.groupBy("cell").agg(F.max(block).alias("_last"))
+    ranked = group_rank(rows, ["cell"], [F.col("part"), F.col("id")], "_rank")
+    placed = keep(ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / BLOCK)), "blocks")
+    # Pairs of blocks of a cell, a block with itself too, unless both lie in one component as a whole.
+    spans = placed.groupBy("cell", "_block").agg(F.min("part").alias("_from"), F.max("part").alias("_to"))
+    left = spans.select("cell", F.col("_block").alias("i"), F.col("_from").alias("_f"), F.col("_to").alias("_t"))
+    right = spans.select("cell", F.col("_block").alias("j"), "_from", "_to")
+    mixed = F.least("_f", "_from") < F.greatest("_t", "_to")
+    wanted = left.join(right, "cell").where(F.col("i") <= F.col("j")).where(mixed).select(
+        "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("_block")
+    )
     blocks = (
-        ranked.withColumn("_block", block)
-        .join(last, "cell")
+        placed.join(wanted, ["cell", "_block"])
         .join(points, "id")
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
-        .select(
-            "cell",
-            F.least("_block", "_other").alias("i"),
-            F.greatest("_block", "_other").alias("j"),
-            "_block",
-            F.struct("id", "part", "point").alias("x"),
-        )
+        .select("cell", "i", "j", "_block", F.struct("id", "part", "point").alias("x"))
     )
     # Bounded: at most BLOCK points a side.
     pairs = blocks.groupBy("cell", "i", "j").agg(
