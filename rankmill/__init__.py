@@ -78,4 +78,91 @@ from rankmill.plans.export import (
 from rankmill.plans.features import date_window, features
 from rankmill.sources.tables import TableSpec, read_table, read_through, write_table
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "action_count",
+    "action_count_per_day",
+    "action_pivot",
+    "action_processed",
+    "action_unstacked",
+    "average_precision",
+    "case_codes",
+    "cast_array",
+    "click_exploded",
+    "click_grouped",
+    "click_label_explode",
+    "click_labels",
+    "click_lists",
+    "click_processed",
+    "company_processed",
+    "ctr",
+    "ctr_by_job_action",
+    "ctr_features",
+    "ctr_report",
+    "cv_assign",
+    "cv_folds",
+    "dataset",
+    "date_span",
+    "date_window",
+    "day_span",
+    "dcg_at_k",
+    "DEFAULT_PARAMS",
+    "epoch_to_ts",
+    "feature_columns",
+    "features",
+    "field_tokens",
+    "float_text",
+    "group_lengths",
+    "grouped_average_precision",
+    "grouped_ndcg",
+    "idf_table",
+    "impression_id",
+    "job_attributes",
+    "job_company",
+    "job_date_range",
+    "job_processed",
+    "keyword_impressions",
+    "label_with_action",
+    "mean_list_ndcg",
+    "mean_metric",
+    "ndcg_at_k",
+    "ndcg_score_of_prediction",
+    "ndcg_score_of_truth",
+    "no_keyword_rows",
+    "number_rows",
+    "open_days",
+    "ParamRegistry",
+    "postings",
+    "query_map",
+    "rank_rows",
+    "read_group_file",
+    "read_libsvm",
+    "read_table",
+    "read_through",
+    "rerank",
+    "rm_repeat",
+    "running_totals",
+    "score_relevance",
+    "score_rows",
+    "series_cv",
+    "shown_jobs",
+    "simple_clean",
+    "split_xy",
+    "TableSpec",
+    "testset_exploded",
+    "testset_labels",
+    "testset_lists",
+    "testset_processed",
+    "text_field_scores",
+    "to_halfwidth",
+    "to_integer",
+    "to_libsvm_lines",
+    "to_lower",
+    "tokenize",
+    "tokenize_to_struct",
+    "train_valid_export",
+    "uuid_to_long",
+    "with_query_params",
+    "with_text_scores",
+    "write_libsvm",
+    "write_table",
+]

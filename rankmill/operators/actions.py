@@ -26,7 +26,7 @@ def row_total(*columns: str) -> Column:
 def action_processed(log: DataFrame, row_id: Column | None = None) -> DataFrame:
     """Typed action rows. ``row_id`` identifies a row; by default the position in the scan does."""
     return log.select(
-        (F.monotonically_increasing_id() if row_id is None else row_id).alias("id"),
+        (F.xxhash64(*log.columns) if row_id is None else row_id).alias("id"),
         to_integer(F.col("jobno")).alias("jobno"),
         epoch_to_ts(F.col("date")).alias("datetime"),
         "action",

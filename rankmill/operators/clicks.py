@@ -10,10 +10,11 @@ from rankmill.functions.metrics import action_weight, score_relevance
 from rankmill.functions.querystring import DEFAULT_PARAMS, ParamRegistry, query_map, with_query_params
 from rankmill.functions.scalars import case_codes, epoch_to_ts, to_integer
 from rankmill.functions.text import tokenize
+from rankmill.operators.running import group_rank
 
 IMPRESSION_KEYS = ("source", "date", "datetime", "query_params", "joblist", "tokens")
 
-# Clicks per row of ``click_lists``; larger impressions get several rows.
+# Clicks per row of ``click_lists``.
 LIST_PAGE = 10_000
 
 
@@ -24,9 +25,12 @@ def cast_array(items: Column) -> Column:
 def click_processed(
     log: DataFrame, row_id: Column | None = None, registry: ParamRegistry = DEFAULT_PARAMS
 ) -> DataFrame:
-    """Typed clicks with parsed query, keyword tokens and the relevance of this one click per list item."""
+    """Typed clicks with parsed query, keyword tokens and the relevance of this one click per list item.
+
+    Without ``row_id`` the id is a hash of the row, which a retried task gives again.
+    """
     typed = log.select(
-        (F.monotonically_increasing_id() if row_id is None else row_id).alias("id"),
+        (F.xxhash64(*log.columns) if row_id is None else row_id).alias("id"),
         "source",
         "action",
         epoch_to_ts(F.col("date")).alias("datetime"),
@@ -103,16 +107,14 @@ def click_grouped(processed: DataFrame) -> DataFrame:
 def click_lists(processed: DataFrame, page_size: int = LIST_PAGE) -> DataFrame:
     """The clicks of every impression as parallel lists ``id_list, jobno_list, action_list`` in id order.
 
-    Each impression normally has one row. One with more than ``page_size`` clicks is spread over
-    ``n_pages`` rows by click id, so no task gathers an unbounded list and no click is left out.
+    Page p holds the clicks with ranks p * ``page_size`` + 1 and on in the impression, so no task gathers an
+    unbounded list, no page exceeds its size and no click is left out.
     """
     clicks = processed.select(impression_id().alias("gid"), "id", "jobno", "action")
-    pages = (
-        clicks.groupBy("gid")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("gid", F.ceil(F.col("n") / F.lit(page_size)).alias("n_pages"))
-    )
-    members = clicks.join(pages, "gid").withColumn("page", F.pmod("id", "n_pages"))
+    ranked = group_rank(clicks, ["gid"], [F.col("id"), F.col("action"), F.col("jobno")], "_rank")
+    members = ranked.withColumn("page", F.floor((F.col("_rank") - 1) / F.lit(page_size)))
+    pages = members.groupBy("gid").agg((F.max("page") + 1).alias("n_pages"))
+    members = members.join(pages, "gid")
     lists = members.groupBy("gid", "n_pages", "page").agg(
         F.array_sort(F.collect_list(F.struct("id", "action", "jobno"))).alias("c")
     )

@@ -35,18 +35,20 @@ def cv_folds(span: DataFrame, n_splits: int = 3, step_ratio: float = 0.2, train_
     )
 
 
-def fold_days(folds: DataFrame) -> DataFrame:
-    """One row per (fold, day, role); its size is set by the calendar, not by the data."""
+def cv_assign(rows: DataFrame, folds: DataFrame, day: str = "date") -> DataFrame:
+    """Tag every row with the folds and roles its day falls in.
 
-    def days(role: str) -> Column:
-        run = F.sequence(F.col(f"{role}_start_date"), F.col(f"{role}_stop_date"))
-        return F.transform(run, lambda day: F.struct(day.alias("day"), F.lit(role).alias("role")))
+    What is broadcast is one row with one entry a fold, however long the span of days is.
+    """
+    bounds = F.struct("fold", *(f"{role}_{end}_date" for role in ("train", "test") for end in ("start", "stop")))
+    listed = folds.agg(F.collect_list(bounds).alias("_folds"))
 
-    return folds.select("fold", F.explode(F.concat(days("train"), days("test"))).alias("d")).select("fold", "d.*")
+    def role(fold: Column) -> Column:
+        def within(name: str) -> Column:
+            return F.col(day).between(fold[f"{name}_start_date"], fold[f"{name}_stop_date"])
 
+        return F.when(within("train"), "train").when(within("test"), "test")
 
-def cv_assign(rows: DataFrame, folds: DataFrame, day: str = "date") -> DataFrame:
-    """Tag every row with the folds and roles its day falls in."""
-    calendar = fold_days(folds).withColumnRenamed("day", day)
-    # Bounded: splits times days of the span.
-    return rows.join(F.broadcast(calendar), day)
+    tagged = F.transform("_folds", lambda f: F.struct(f["fold"].alias("fold"), role(f).alias("role")))
+    hits = F.explode(F.filter(tagged, lambda t: t["role"].isNotNull())).alias("_hit")
+    return rows.join(F.broadcast(listed)).select(*rows.columns, hits).select(*rows.columns, "_hit.*")

@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.functions.metrics import EMPTY_GROUP, discount, ndcg_at_k, rerank
-from rankmill.operators.running import (
-    MAX_GROUP,
-    group_running,
-    number_rows,
-    split_hot,
-    totals_in_group,
-    totals_in_hot_group,
-)
+from rankmill.operators.running import group_totals, number_rows
 
 CHUNK = 20
 
@@ -33,20 +26,10 @@ def rank_rows(
     group: str = "gid",
     label: str = "y",
     prediction: str = "pred",
-    max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Add the 1-based ``rank`` by falling prediction inside each group; larger labels first among ties."""
     order = [F.desc(prediction), F.desc(label)]
-    return group_running(scored, group, order, {"rank": _one()}, max_group)
-
-
-def _ndcg(ranked: DataFrame, group: str, label: str, k: int | None, method: int) -> DataFrame:
-    def gain(position: str) -> Column:
-        value = F.col(label).cast("double") / discount(F.col(position), method)
-        return F.sum(value if k is None else F.when(F.col(position) <= k, value).otherwise(0.0))
-
-    score = F.coalesce(F.try_divide(gain("_rank"), gain("_best")), F.lit(0.0))
-    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), score.alias("ndcg"))
+    return group_totals(scored, group, order, {"rank": _one()})
 
 
 def grouped_ndcg(
@@ -56,23 +39,24 @@ def grouped_ndcg(
     prediction: str = "pred",
     k: int | None = None,
     method: int = 1,
-    max_group: int = MAX_GROUP,
+    empty_group: str = "zero",
 ) -> DataFrame:
-    """NDCG of the predicted order per group: (group, n, ndcg).
+    """NDCG of the predicted order per group: (group, n, ndcg); ``empty_group`` scores groups without gain.
 
-    Ordinary groups share one shuffle for both orders; no list is gathered. Groups beyond ``max_group``
-    rows are ranked across partitions.
+    A group is summed up, not gathered, whatever its size.
     """
-    by_prediction = [F.desc(prediction), F.desc(label)]
-    by_label = [F.desc(label)]
-    ordinary, hot = split_hot(scored.select(group, label, prediction), group, max_group)
-    ranked = totals_in_group(ordinary, group, by_prediction, {"_rank": _one()})
-    result = _ndcg(totals_in_group(ranked, group, by_label, {"_best": _one()}), group, label, k, method)
-    if hot is None:
-        return result
-    hot_ranked = totals_in_hot_group(hot, group, by_prediction, {"_rank": _one()})
-    hot_ranked = totals_in_hot_group(hot_ranked, group, by_label, {"_best": _one()})
-    return result.unionByName(_ndcg(hot_ranked, group, label, k, method))
+    ranked = group_totals(
+        scored.select(group, label, prediction), group, [F.desc(prediction), F.desc(label)], {"_rank": _one()}
+    )
+    ranked = group_totals(ranked, group, [F.desc(label)], {"_best": _one()})
+
+    def gain(position: str) -> Column:
+        value = F.col(label).cast("double") / discount(F.col(position), method)
+        return F.sum(value if k is None else F.when(F.col(position) <= k, value).otherwise(0.0))
+
+    none = F.lit(EMPTY_GROUP[empty_group]).cast("double")
+    score = F.when(gain("_best") == 0, none).otherwise(F.coalesce(F.try_divide(gain("_rank"), gain("_best")), none))
+    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), score.alias("ndcg"))
 
 
 def grouped_average_precision(
@@ -81,12 +65,11 @@ def grouped_average_precision(
     group: str = "gid",
     label: str = "y",
     empty_group: str = "zero",
-    max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Average precision of the given order per group; ``empty_group`` scores groups without positives."""
     positive = F.when(F.col(label) > 0, _one()).otherwise(F.lit(0).cast("bigint"))
     totals = {"_rank": _one(), "_hits": positive}
-    ranked = group_running(rows.select(group, label, position), group, [F.col(position)], totals, max_group)
+    ranked = group_totals(rows.select(group, label, position), group, [F.col(position)], totals)
     precision = F.sum(F.when(F.col(label) > 0, F.col("_hits") / F.col("_rank")))
     hits = F.sum(F.when(F.col(label) > 0, 1))
     score = F.coalesce(F.try_divide(precision, hits), F.lit(EMPTY_GROUP[empty_group]).cast("double"))

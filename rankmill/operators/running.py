@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from rankmill.sources.scratch import keep
 
-# Groups with more rows than this are ranked across partitions instead of in one window partition.
-MAX_GROUP = 100_000
-
 # Copies of one row that are expanded together in one task.
 COPY_BLOCK = 65_536
 
@@ -87,6 +84,25 @@ def number_rows(
     return running_totals(df, order_by, {name: F.lit(1).cast("bigint")}, num_partitions)
 
 
+def _offsets(slices: DataFrame, groups: Sequence[str], weights: Mapping[str, Column]) -> DataFrame:
+    """(_s, _g, _before_*): what a group has in earlier slices, for groups that go on from one slice to the next.
+
+    Bounded: each slice ends with one group, and lies inside or begins with at most one that ended before.
+    """
+    group = F.struct(*groups)
+    ends = slices.groupBy("_slice").agg(F.max(group).alias("_end")).select("_end").distinct()
+    parts = (
+        slices.withColumn("_g", group)
+        .join(F.broadcast(ends), F.col("_g").eqNullSafe(F.col("_end")))
+        .groupBy(F.col("_slice").alias("_s"), "_g")
+        .agg(*(F.sum(weight).alias(f"_n_{name}") for name, weight in weights.items()))
+    )
+    earlier = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_before_{name}": F.sum(f"_n_{name}").over(earlier) for name in weights}
+    found = parts.select("_s", "_g", *(total.alias(name) for name, total in sums.items()))
+    return found.where(F.coalesce(*sums).isNotNull())
+
+
 def group_rank(
     df: DataFrame,
     groups: Sequence[str],
@@ -106,79 +122,54 @@ def group_rank(
         df.repartitionByRange(partitions, *keys, *order_by).withColumn("_slice", F.spark_partition_id()), "slices"
     )
     group = F.struct(*groups)
-    ends = slices.groupBy("_slice").agg(F.max(group).alias("_group")).select("_group").distinct()
-    # Bounded: each slice ends with one group, and lies inside or begins with at most one that ended before.
-    parts = (
-        slices.select("_slice", group.alias("_group"))
-        .join(F.broadcast(ends.withColumnRenamed("_group", "_end")), F.col("_group").eqNullSafe(F.col("_end")))
-        .groupBy("_slice", "_group")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        F.col("_slice").alias("_s"), F.col("_group").alias("_g"), F.sum("_n").over(earlier).alias("_before")
-    ).where("_before > 0")
+    offsets = _offsets(slices, groups, {"n": F.lit(1)})
     inside = Window.partitionBy("_slice", *groups).orderBy(*order_by)
     on = (F.col("_slice") == F.col("_s")) & group.eqNullSafe(F.col("_g"))
     return (
         slices.withColumn("_inside", F.row_number().over(inside).cast("bigint"))
         .join(F.broadcast(offsets), on, "left")
-        .select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(name))
+        .select(*df.columns, (F.col("_inside") + F.coalesce("_before_n", F.lit(0))).alias(name))
     )
 
 
-def split_hot(df: DataFrame, group: str, max_group: int = MAX_GROUP) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of groups beyond ``max_group`` (None if there are none).
-
-    Costs one narrow count by group; there are at most rows / max_group hot groups. ``group`` holds no NULL.
-    """
-    hot = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group).select(group)
-    if hot.isEmpty():
-        return df, None
-    hot = keep(hot)
-    return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
-
-
-def totals_in_group(
-    df: DataFrame, group: str, order_by: Sequence[Column], totals: Mapping[str, Column]
-) -> DataFrame:
-    """Inclusive running totals inside each group by a window; for groups of bounded size."""
-    inside = Window.partitionBy(group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({name: F.sum(weight).over(inside) for name, weight in totals.items()})
-
-
-def totals_in_hot_group(
+def group_totals(
     df: DataFrame,
     group: str,
     order_by: Sequence[Column],
     totals: Mapping[str, Column],
     num_partitions: int | None = None,
+    block: int = COPY_BLOCK,
 ) -> DataFrame:
-    """The same totals for groups of any size: totals over the whole order, minus what precedes the group."""
-    owned = df.withColumns({f"_own_{name}": weight for name, weight in totals.items()})
-    overall = running_totals(
-        owned, [F.col(group), *order_by], {name: F.col(f"_own_{name}") for name in totals}, num_partitions
+    """Inclusive running totals of integer weights inside each group, whatever its size; NULL is a group.
+
+    Works as ``group_rank``, with exact copies of a row counted first as in ``running_totals``, so neither a
+    group nor a run of copies meets one task. Columns must be of types Spark can group by.
+    """
+    partitions = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = list(totals)
+    order = [*order_by, *map(F.col, df.columns)]
+    cells = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    slices = keep(
+        cells.withColumns({f"_w_{name}": weight for name, weight in totals.items()})
+        .repartitionByRange(partitions, F.col(group), *order)
+        .withColumn("_slice", F.spark_partition_id()),
+        "slices",
     )
-    # Totals never fall along the order, so the least (total - own weight) of a group is what precedes it.
-    starts = overall.groupBy(group).agg(
-        *(F.min(F.col(name) - F.col(f"_own_{name}")).alias(f"_start_{name}") for name in totals)
+    weighted = {name: F.col(f"_w_{name}") * F.col("_copies") for name in names}
+    offsets = _offsets(slices, [group], weighted)
+    inside = Window.partitionBy("_slice", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = (F.col("_slice") == F.col("_s")) & F.struct(group).eqNullSafe(F.col("_g"))
+    summed = (
+        slices.withColumns({f"_e_{name}": F.sum(weight).over(inside) for name, weight in weighted.items()})
+        .join(F.broadcast(offsets), on, "left")
+        .select(
+            *df.columns,
+            "_copies",
+            *(f"_w_{name}" for name in names),
+            *((F.col(f"_e_{name}") + F.coalesce(f"_before_{name}", F.lit(0))).alias(f"_e_{name}") for name in names),
+        )
     )
-    return overall.join(starts, group).select(
-        *df.columns, *((F.col(name) - F.col(f"_start_{name}")).alias(name) for name in totals)
+    after = F.col("_copies") - F.col("_copy")
+    return _spread_copies(summed, partitions, block).select(
+        *df.columns, *((F.col(f"_e_{name}") - F.col(f"_w_{name}") * after).alias(name) for name in names)
     )
-
-
-def group_running(
-    df: DataFrame,
-    group: str,
-    order_by: Sequence[Column],
-    totals: Mapping[str, Column],
-    max_group: int = MAX_GROUP,
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """Inclusive running totals of non-negative weights inside each group, whatever its size."""
-    ordinary, hot = split_hot(df, group, max_group)
-    result = totals_in_group(ordinary, group, order_by, totals)
-    if hot is None:
-        return result
-    return result.unionByName(totals_in_hot_group(hot, group, order_by, totals, num_partitions))

@@ -37,10 +37,17 @@ def test_a_hot_impression_keeps_every_click(spark):
     assert by_keyword(clicks.click_grouped(processed))["a"].rel_list == [0, 104, 104]
     pages = clicks.click_lists(processed, page_size=10).collect()
     assert max(r.n_pages for r in pages) == 6
-    assert max(len(r.id_list) for r in pages) <= 20
+    assert max(len(r.id_list) for r in pages) == 10
     assert sorted(i for r in pages for i in r.id_list) == [1, 2, 3, 4, 5, *range(10, 60)]
 
 
+def test_pages_keep_their_size_for_ids_in_steps(spark):
+    rows = [("clickJob", DAY, ["1"], "1", "keyword=a", "web", 10 * i) for i in range(100)]
+    processed = clicks.click_processed(spark.createDataFrame(rows, LOG), row_id=F.col("n"))
+    pages = sorted(clicks.click_lists(processed, page_size=10).collect(), key=lambda r: r.page)
+    assert [list(r.id_list) for r in pages] == [[10 * (10 * p + i) for i in range(10)] for p in range(10)]
+
+
 def test_ids_do_not_depend_on_the_partitioning(spark):
     def ids(frame):
         return {r.gid for r in clicks.click_grouped(frame).select("gid").collect()}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions import metrics
 
+# A published worked example of DCG and NDCG, its labels and its results.
 R = [3, 2, 3, 0, 0, 1, 2, 2, 3, 0]
 
 

@@ -26,17 +26,22 @@ def plain_ndcg(rows, gid):
 
 def test_hot_groups_score_like_ordinary_ones(spark):
     rows, frame = scored(spark)
-    for limit in (1, 80, 10_000):
-        got = {r.gid: r for r in ranking.grouped_ndcg(frame, max_group=limit).collect()}
-        assert set(got) == {1, 2, 3, 4}
-        for gid, row in got.items():
-            assert row.n == sum(1 for r in rows if r[0] == gid)
-            assert abs(row.ndcg - plain_ndcg(rows, gid)) < 1e-9
+    got = {r.gid: r for r in ranking.grouped_ndcg(frame).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for gid, row in got.items():
+        assert row.n == sum(1 for r in rows if r[0] == gid)
+        assert abs(row.ndcg - plain_ndcg(rows, gid)) < 1e-9
+
+
+def test_groups_without_gain_follow_the_rule(spark):
+    frame = spark.createDataFrame([(1, 0, 0.5), (1, 0, 0.1), (None, 2, 0.5)], "gid bigint, y bigint, pred double")
+    for rule, value in (("zero", 0.0), ("one", 1.0), ("skip", None)):
+        assert {r.gid: r.ndcg for r in ranking.grouped_ndcg(frame, empty_group=rule).collect()} == {1: value, None: 1.0}
 
 
 def test_hot_ranks_are_complete(spark):
     rows, frame = scored(spark)
-    got = ranking.rank_rows(frame, max_group=1).collect()
+    got = ranking.rank_rows(frame).collect()
     for gid in (1, 2, 3, 4):
         mine = sorted((r["rank"], r.pred, r.y) for r in got if r.gid == gid)
         expected = sorted(((p, y) for g, y, p in rows if g == gid), reverse=True)
@@ -47,10 +52,11 @@ def test_average_precision_of_hot_groups(spark):
     rng = random.Random(9)
     rows = [(i % 3, i, rng.randint(0, 1)) for i in range(120)]
     frame = spark.createDataFrame(rows, "gid bigint, pos bigint, y bigint")
-    small = {r.gid: r.ap for r in ranking.grouped_average_precision(frame, "pos").collect()}
-    hot = {r.gid: r.ap for r in ranking.grouped_average_precision(frame, "pos", max_group=5).collect()}
-    assert small.keys() == hot.keys()
-    assert all(abs(small[g] - hot[g]) < 1e-12 for g in small)
+    got = {r.gid: r.ap for r in ranking.grouped_average_precision(frame, "pos").collect()}
+    for gid in (0, 1, 2):
+        labels = [y for g, _, y in sorted(rows) if g == gid]
+        hits = [sum(labels[: i + 1]) / (i + 1) for i, y in enumerate(labels) if y]
+        assert abs(got[gid] - sum(hits) / len(hits)) < 1e-12
 
 
 def test_running_totals_with_copies(spark):

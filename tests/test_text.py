@@ -26,8 +26,8 @@ def one(spark, value, builder):
 
 def test_fixed_examples(spark):
     assert one(spark, "ＡＢ１２　ｚ！～x", text.to_halfwidth) == "AB12 z!~x"
-    assert one(spark, "AAABBBCCCC安安安安哈啊哈哈哈~~~~", text.rm_repeat) == "AABBCC安安哈啊哈哈~~"
-    assert one(spark, "AAABBBCCCC安安安安哈啊哈哈哈~~~~", text.simple_clean) == "aabbcc安安哈啊哈哈~~"
+    assert one(spark, "xxxxy 好好好 gogogogo 早安早安早安!!!", text.rm_repeat) == "xxy 好好 go 早安!!"
+    assert one(spark, "XXXXy\n好好好 GoGoGo 走走走了走走了", text.simple_clean) == "xxy 好好 go 走走了"
     assert one(spark, None, text.simple_clean) is None
 
 
