@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmill.llm.components import components
@@ -117,6 +117,11 @@ def _cells(threshold: Threshold, text: np.ndarray, hashes: np.ndarray, n: np.nda
     return np.concatenate(out_text), np.concatenate(out_cell)
 
 
+def _points(text: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
+    counts = np.bincount(text * GROUPS + (mix(hashes) >> _U(58)).astype(np.int64), minlength=n * GROUPS)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * GROUPS, pa.int32()), pa.array(counts, pa.int32()))
+
+
 def _digester(k: int, names: list[str]):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +133,7 @@ def _digester(k: int, names: list[str]):
                         batch.column(0).slice(part.first, part.count),
                         pa.array(np.diff(offsets), pa.int64()),
                         *(pa.array(d) for d in _digests(hashes, offsets)),
+                        _points(text, hashes, part.count),
                     ],
                     names=names,
                 )
@@ -145,17 +151,14 @@ def _signer(k: int, threshold: Threshold):
                 owner, cell = _cells(threshold, text, hashes, n)
                 order = np.argsort(owner, kind="stable")
                 starts = np.searchsorted(owner[order], np.arange(part.count + 1))
-                counts = np.bincount(text * GROUPS + (mix(hashes) >> _U(58)).astype(np.int64), minlength=part.count * GROUPS)
-                points = counts.astype("<i4").reshape(part.count, GROUPS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.first, part.count),
                         pa.array(n, pa.int64()),
                         *(pa.array(d) for d in _digests(hashes, offsets)),
                         pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(cell[order].view(np.int64))),
-                        pa.array([p.tobytes() for p in points], pa.binary()),
                     ],
-                    names=["id", "n", "d1", "d2", "cells", "point"],
+                    names=["id", "n", "d1", "d2", "cells"],
                 )
 
     return sign
@@ -220,7 +223,7 @@ def _prober(threshold: Threshold):
         for batch in batches:
             a, b = [], []
             for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                points = [np.frombuffer(b"".join(x["point"] for x in side), "<i4").reshape(-1, GROUPS) for side in (left, right)]
+                points = [np.array([x["point"] for x in side], np.int64).reshape(-1, GROUPS) for side in (left, right)]
                 tree = RTree(points[0])
                 parts = np.array([x["part"] for x in left])
                 ids = np.array([x["id"] for x in left])
@@ -237,33 +240,58 @@ def _prober(threshold: Threshold):
     return probe
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+def _enough(both: Column, total: Column, threshold: Threshold) -> Column:
+    """den * both >= num * (total - both), in whole numbers."""
+    return both.cast("bigint") * (threshold.num + threshold.den) >= total.cast("bigint") * threshold.num
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs whose sum of smaller counts allows similarity."""
+    left = points.select(F.col("id").alias("a"), F.col("point").alias("x"))
+    right = points.select(F.col("id").alias("b"), F.col("point").alias("y"))
+
+    def added(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+    most = added(F.zip_with("x", "y", lambda x, y: F.least(x, y)))
+    joined = pairs.join(right, "b").join(left, "a")
+    return joined.where(_enough(most, added(F.col("x")) + added(F.col("y")), threshold)).select("a", "b")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    total = F.size("x") + F.size("y")
-    # Whole numbers: den * both >= num * (total - both).
-    both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    similar = both * (threshold.num + threshold.den) >= total * F.lit(threshold.num).cast("bigint")
-    return keep(pairs.join(right, "b").join(left, "a").where(similar).select("a", "b"), "links")
+    both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    joined = pairs.join(right, "b").join(left, "a").where(_enough(both, total, threshold))
+    return keep(joined.select("a", "b").distinct(), "links")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of which the links so far do not put both in one component."""
+    left = found.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+    right = found.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+    joined = pairs.join(left, "a", "left").join(right, "b", "left")
+    return joined.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
 def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
-    """Candidate pairs of cells that the comparison with their smallest id leaves open."""
+    """Candidate pairs of cells that the comparison with their smallest id leaves open.
+
+    ``members`` has a cell's entries but that id.
+    """
     part = found.select(F.col("node").alias("id"), F.col("component").alias("part"))
-    known = keep(members.join(part, "id", "left").select("cell", "id", F.coalesce("part", "id").alias("part")), "cells")
+    known = members.join(part, "id", "left").select("cell", "id", F.coalesce("part", "id").alias("part"))
+    known = keep(known.distinct(), "cells")
     cells = known.groupBy("cell").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("part").alias("_least"),
         F.max("part").alias("_most"),
-        F.min("id").alias("_first"),
         # Cells with the same members are one.
         F.bit_xor(F.xxhash64("id")).alias("_x"),
         F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("_y"),
     )
-    unsettled = cells.where("_n > 2 and _least < _most").groupBy("_n", "_x", "_y").agg(
-        F.min("cell").alias("cell"), F.min("_first").alias("_first")
-    )
-    rows = known.join(unsettled.select("cell", "_first"), "cell").where("id <> _first").drop("_first")
+    unsettled = cells.where("_n > 1 and _least < _most").groupBy("_n", "_x", "_y").agg(F.min("cell").alias("cell"))
+    rows = known.join(unsettled.select("cell"), "cell")
     ranked = group_rank(rows, ["cell"], [F.col("part"), F.col("id")], "_rank")
     placed = keep(ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / BLOCK)), "blocks")
     # Pairs of blocks of a cell, a block with itself too, unless both lie in one component as a whole.
@@ -287,6 +315,12 @@ def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, thresho
     return pairs.select("left", "right").mapInArrow(_prober(threshold), "a bigint, b bigint").distinct()
 
 
+def _sets(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the ids in ``pairs``, from their texts."""
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    return keep(rows.join(wanted, "id", "left_semi").mapInArrow(_setter(shingle), "id bigint, set array<bigint>"), "sets")
+
+
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -305,37 +339,39 @@ def near_duplicates(
     is. A row with a null id gets its class's component, null if it has no other row. Other columns are not read.
 
     Every link between classes is found or implied: a pair in one cell is verified, or both sides are known to be
-    in one component, or the bound excludes it. Cells, classes and hubs are reduced by partial aggregates or
-    joins with a side that is unique in the key, so a hot one can be split.
+    in one component, or the bound excludes it. Classes and hubs are reduced by partial aggregates or joins with
+    a side that is unique in the key. A cell is read in order by one task, which keeps one id of it.
     """
     threshold = Threshold(*similarity)
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    digests = ["id", "n", "d1", "d2", "point"]
     digested = keep(
-        rows.mapInArrow(_digester(shingle, ["id", "n", "d1", "d2"]), "id bigint, n bigint, d1 bigint, d2 bigint"), "digests"
+        rows.mapInArrow(_digester(shingle, digests), "id bigint, n bigint, d1 bigint, d2 bigint, point array<int>"),
+        "digests",
     )
     signed = rows.where("id is not null").mapInArrow(
-        _signer(shingle, threshold),
-        "id bigint, n bigint, d1 bigint, d2 bigint, cells array<bigint>, point binary",
-    )
-    classes = keep(
-        signed.where("n > 0")
-        .groupBy("n", "d1", "d2")
-        .agg(F.min("id").alias("id"), F.first("cells").alias("cells"), F.first("point").alias("point")),
-        "classes",
+        _signer(shingle, threshold), "id bigint, n bigint, d1 bigint, d2 bigint, cells array<bigint>"
     )
+    classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("cells").alias("cells"))
     entries = classes.select("id", F.explode("cells").alias("cell"))
-    shared = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first")).where("_n > 1")
-    members = keep(entries.join(shared, "cell").select("cell", "id", "_first"), "members")
-    wanted = members.select("id").distinct()
-    sets = keep(rows.join(wanted, "id", "left_semi").mapInArrow(_setter(shingle), "id bigint, set array<bigint>"), "sets")
-    pairs = members.where("id > _first").select(F.col("_first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(pairs, sets, threshold)
+    # Runs through a cell in order of id and holds one value: a large cell takes time, not memory.
+    inside = Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    members = keep(entries.withColumn("_first", F.first("id").over(inside)).where("id > _first"), "members")
+    points = digested.select("id", "point").where("id is not null")
+    star = members.select(F.col("_first").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = keep(_bounded(star, points, threshold).distinct(), "pairs")
+    sets = _sets(rows, pairs, shingle)
+    # Most copies are linked with the smallest id they meet; the other pairs are verified where that fails.
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = _similar(nearest, sets, threshold)
+    rest = keep(_apart(pairs, keep(components(links), "components")).join(nearest, ["a", "b"], "left_anti"), "rest")
+    links = links.union(_similar(rest, sets, threshold))
     found = keep(components(links), "components")
-    points = classes.select("id", "point")
-    more = _links(_open_pairs(members.select("cell", "id").distinct(), found, points, threshold), sets, threshold)
+    opened = keep(_open_pairs(members.select("cell", "id"), found, points, threshold), "open")
+    more = _similar(opened, _sets(rows, opened, shingle), threshold)
     whole = components(links.union(more)) if not more.isEmpty() else found
-    named = classes.select("n", "d1", "d2", F.col("id").alias("node")).join(whole, "node", "left")
-    named = named.select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    own = digested.join(named, ["n", "d1", "d2"], "left")
+    named = digested.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("node"))
+    named = named.join(whole, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    own = digested.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -19,7 +19,7 @@ from rankmill.llm.words import LOWER, WHITE, Texts, Words, covered, group_sizes,
 
 BITS = 18
 # Labelled rows of each class that the classifier is fitted on, and their bytes (whole texts, smallest key first).
-SAMPLE = 1500
+SAMPLE = 1000
 THRESHOLD = 0.5
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
@@ -119,7 +119,8 @@ def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for text, feature in hashed_ngrams(part, found):
             n = np.bincount(text, minlength=part.count)
             key, count = np.unique(text << BITS | feature, return_counts=True)
-            parts.append(((key >> BITS) + first, key & ((1 << BITS) - 1), count / n[key >> BITS]))
+            value = (count / n[key >> BITS]).astype(np.float32)
+            parts.append((((key >> BITS) + first).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32), value))
         first += part.count
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
