@@ -359,14 +359,20 @@ def near_duplicates(
     members = keep(entries.withColumn("_first", F.first("id").over(inside)).where("id > _first"), "members")
     points = digested.select("id", "point").where("id is not null")
     star = members.select(F.col("_first").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = keep(_bounded(star, points, threshold).distinct(), "pairs")
+    # An id has at most one pair a cell.
+    of_id = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    pairs = keep(_bounded(star, points, threshold).distinct().withColumn("_rank", of_id), "pairs")
     sets = _sets(rows, pairs, shingle)
-    # Most copies are linked with the smallest id they meet; the other pairs are verified where that fails.
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = _similar(nearest, sets, threshold)
-    rest = keep(_apart(pairs, keep(components(links), "components")).join(nearest, ["a", "b"], "left_anti"), "rest")
-    links = links.union(_similar(rest, sets, threshold))
-    found = keep(components(links), "components")
+    # Most copies are linked with the smallest id they meet. So one pair an id is verified, then two more, four
+    # more and so on, each time only those that the links so far leave apart.
+    links = pairs.where("false").select("a", "b")
+    found, last = components(links), pairs.agg(F.max("_rank")).first()[0] or 0
+    for step in range(int(last).bit_length()):
+        some = pairs.where(F.col("_rank").between(1 << step, (2 << step) - 1)).select("a", "b")
+        some = keep(_apart(some, found), "apart")
+        if not some.isEmpty():
+            links = links.union(_similar(some, sets, threshold))
+            found = keep(components(links), "components")
     opened = keep(_open_pairs(members.select("cell", "id"), found, points, threshold), "open")
     more = _similar(opened, _sets(rows, opened, shingle), threshold)
     whole = components(links.union(more)) if not more.isEmpty() else found
