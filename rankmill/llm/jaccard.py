@@ -2,8 +2,9 @@
 
 A text's set of shingles is hashed into groups. Two views of the groups bring similar sets together:
 
-* Cells. With more groups than two similar sets can have differences, one group at least is equal in both. Sets
-  that agree in the content of a group meet in its cell; no other pair can be similar.
+* Cells. With more groups than two similar sets can have differences, some groups are equal in both. Sets that
+  agree in the content of a group meet in its cell; no other pair can be similar. Each set enters the cells of its
+  fullest groups only, which other texts that share a passage hardly agree in.
 * Count vectors. The number of shingles in each of 64 groups is a point. The overlap of two sets is at most the
   sum over the groups of the smaller count, for a pair of points as for a point and a box of an R-tree.
 
@@ -27,6 +28,8 @@ from rankmill.sources.scratch import keep
 
 GROUPS = 64
 LEAF = 8
+# One spare group for so many differences.
+SPARE = 4
 # Points of a cell in one block; blocks of a larger cell are compared pair by pair.
 BLOCK = 128
 
@@ -46,9 +49,9 @@ class Threshold:
             edges.append(max(edges[-1] + 1, int(edges[-1] * 1.6)))
         self.edges = np.array(edges, np.int64)
         # Differences between two similar sets of which the larger is in a band, and groups for more than those:
-        # spare groups, so that empty ones need no cell unless there are more of them.
+        # two similar sets have the same content in more groups than are spare.
         self.differences = 2 * (self.edges[1:] - 1) * (den - num) // (den + num)
-        self.spare = (self.differences + 15) // 16
+        self.spare = (self.differences + SPARE - 1) // SPARE
         self.groups = np.where(self.differences > 0, self.differences + 1 + self.spare, 0)
 
     def need(self, total):
@@ -92,7 +95,11 @@ def _digests(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _cells(threshold: Threshold, text: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, cell): one for each group of each band entered, named by band, group and the group's content."""
+    """(text, cell): for each band entered, the fullest groups, named by band, group and the group's content.
+
+    All sets order cells alike, by size and name, and leave out their lowest ``spare`` ones. Of more than ``spare``
+    cells that two sets share, the highest is above that many in both, so both keep it.
+    """
     first, last = threshold.bands(np.maximum(n, 1))
     content, place = mix(hashes ^ _U(0x7E57)), mix(hashes ^ _U(0x6709))
     out_text, out_cell = [], []
@@ -104,16 +111,17 @@ def _cells(threshold: Threshold, text: np.ndarray, hashes: np.ndarray, n: np.nda
         t = text[inside]
         # The high half of a hash times the number of groups, its own high half, is the group.
         group = ((place[inside] >> _U(32)) * groups[t].astype(_U) >> _U(32)).astype(np.int64)
-        sums, filled = np.zeros(base[-1], _U), np.zeros(base[-1], bool)
+        sums = np.zeros(base[-1], _U)
         np.add.at(sums, base[t] + group, content[inside])
-        filled[base[t] + group] = True
+        size = np.bincount(base[t] + group, minlength=base[-1])
         owner = np.repeat(np.arange(len(n)), groups)
-        empty = np.bincount(owner[~filled], minlength=len(n))
-        used = filled | (empty > threshold.spare[band])[owner]
         number = np.arange(base[-1]) - base[:-1][owner]
         name = mix((band[owner] << 40 | number).astype(_U))
+        cell = mix(sums ^ name)
+        order = np.lexsort((cell, size, owner))
+        used = order[number >= threshold.spare[band][owner]]
         out_text.append(owner[used])
-        out_cell.append(mix(sums[used] ^ name[used]))
+        out_cell.append(cell[used])
     return np.concatenate(out_text), np.concatenate(out_cell)
 
 
@@ -255,7 +263,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: Threshold) -> DataF
 
     most = added(F.zip_with("x", "y", lambda x, y: F.least(x, y)))
     joined = pairs.join(right, "b").join(left, "a")
-    return joined.where(_enough(most, added(F.col("x")) + added(F.col("y")), threshold)).select("a", "b")
+    return joined.where(_enough(most, added(F.col("x")) + added(F.col("y")), threshold)).drop("x", "y")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
@@ -358,21 +366,19 @@ def near_duplicates(
     inside = Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     members = keep(entries.withColumn("_first", F.first("id").over(inside)).where("id > _first"), "members")
     points = digested.select("id", "point").where("id is not null")
-    star = members.select(F.col("_first").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.groupBy(F.col("_first").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     # An id has at most one pair a cell.
-    of_id = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    pairs = keep(_bounded(star, points, threshold).distinct().withColumn("_rank", of_id), "pairs")
+    of_id = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
+    pairs = keep(_bounded(star, points, threshold).withColumn("_rank", of_id), "pairs")
     sets = _sets(rows, pairs, shingle)
-    # Most copies are linked with the smallest id they meet. So one pair an id is verified, then two more, four
-    # more and so on, each time only those that the links so far leave apart.
-    links = pairs.where("false").select("a", "b")
-    found, last = components(links), pairs.agg(F.max("_rank")).first()[0] or 0
-    for step in range(int(last).bit_length()):
-        some = pairs.where(F.col("_rank").between(1 << step, (2 << step) - 1)).select("a", "b")
-        some = keep(_apart(some, found), "apart")
-        if not some.isEmpty():
-            links = links.union(_similar(some, sets, threshold))
-            found = keep(components(links), "components")
+    # Most copies are linked with the id they share most cells with. So that pair of an id is verified first, and
+    # of the others only those that these links leave apart.
+    links = _similar(pairs.where("_rank = 1").select("a", "b"), sets, threshold)
+    found = keep(components(links), "components")
+    apart = keep(_apart(pairs.where("_rank > 1").select("a", "b"), found), "apart")
+    if not apart.isEmpty():
+        links = links.union(_similar(apart, sets, threshold))
+        found = keep(components(links), "components")
     opened = keep(_open_pairs(members.select("cell", "id"), found, points, threshold), "open")
     more = _similar(opened, _sets(rows, opened, shingle), threshold)
     whole = components(links.union(more)) if not more.isEmpty() else found
