@@ -6,7 +6,7 @@ The classifier is a logistic regression on the mean weight of hashed word 1- and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmill.llm.frames import whole_rows, with_id
+from rankmill.llm.frames import with_id
 from rankmill.llm.words import LOWER, WHITE, Texts, Words, covered, group_sizes, mix, slices, span_hashes, sums, words
 
 BITS = 18
@@ -196,26 +196,13 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return Model(w, bias, slope, offset)
 
 
-def apply_rules(
-    documents: DataFrame,
-    model: Model,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """(id, base features, base_failed, quality, kept) for each row, in Arrow batches.
+_VERDICT = ", ".join(f"{name} bigint" for name in FEATURES) + ", base_failed boolean, quality double, kept boolean"
 
-    Words are runs of other than ASCII blanks. ``n_dup_lines`` counts lines with a word that equal an earlier
-    line, ``n_repeat_words`` words in 8-word windows found twice or more in the text. A text fails the base rules
-    with fewer than 20 words or with more than 30 in 100 words repeated; else ``kept`` asks for a probability of
-    at least ``threshold``. A null or empty text has no words and fails. Rows are judged one by one: repeated
-    rows alike, an empty table gives no rows, other columns are not read.
-    """
-    longs = ", ".join(f"{name} bigint" for name in FEATURES)
 
+def _judge(model: Model, threshold: float, name: str, text_of: Callable[[pa.RecordBatch], pa.Array]):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(text_of(batch)):
                 features = base_features(part, words(part))
                 n_words, n_repeat = features[0], features[4]
                 failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED * n_words)
@@ -228,14 +215,33 @@ def apply_rules(
                         pa.array(good),
                         pa.array(~failed & (good >= threshold)),
                     ],
-                    names=[id_col, *FEATURES, "base_failed", "quality", "kept"],
+                    names=[name, *FEATURES, "base_failed", "quality", "kept"],
                 )
 
-    return documents.select(id_col, text_col).mapInArrow(
-        judge, with_id(documents, id_col, f"{longs}, base_failed boolean, quality double, kept boolean")
-    )
+    return judge
+
+
+def apply_rules(
+    documents: DataFrame,
+    model: Model,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """(id, base features, base_failed, quality, kept) for each row, in Arrow batches.
+
+    Words are runs of other than ASCII blanks. ``n_dup_lines`` counts lines with a word that equal an earlier
+    line, ``n_repeat_words`` words in 8-word windows found twice or more in the text. A text fails the base rules
+    with fewer than 20 words or with more than 30 in 100 words repeated; else ``kept`` asks for a probability of
+    at least ``threshold``. A null or empty text has no words and fails. Rows are judged one by one: repeated
+    rows alike, an empty table gives no rows, other columns are not read.
+    """
+    judge = _judge(model, threshold, id_col, lambda batch: batch.column(1))
+    return documents.select(id_col, text_col).mapInArrow(judge, with_id(documents, id_col, _VERDICT))
 
 
 def keep_rows(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that are kept, unchanged."""
-    return whole_rows(documents, text_col, lambda rows, i, t: apply_rules(rows, model, i, t, threshold), "kept")
+    """The rows that are kept, unchanged. A row moves as one struct, so that its text moves once."""
+    rows = documents.select(F.struct(*documents.columns).alias("_row"))
+    judge = _judge(model, threshold, "_row", lambda batch: batch.column(0).field(text_col))
+    return rows.mapInArrow(judge, with_id(rows, "_row", _VERDICT)).where("kept").select("_row.*")

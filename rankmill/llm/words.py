@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text per slice; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
