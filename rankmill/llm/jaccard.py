@@ -290,24 +290,30 @@ def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, thresho
     part = found.select(F.col("node").alias("id"), F.col("component").alias("part"))
     known = members.join(part, "id", "left").select("cell", "id", F.coalesce("part", "id").alias("part"))
     known = keep(known.distinct(), "cells")
-    cells = known.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("part").alias("_least"),
-        F.max("part").alias("_most"),
+    xor, total = F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)"))
+    parts = known.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("_n"), xor.alias("_x"), total.alias("_y"))
+    cells = parts.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("_parts"),
+        F.sum("_n").alias("_n"),
+        F.max(F.struct("_n", "part"))["part"].alias("_major"),
         # Cells with the same members are one.
-        F.bit_xor(F.xxhash64("id")).alias("_x"),
-        F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("_y"),
+        F.bit_xor("_x").alias("_x"),
+        F.sum("_y").alias("_y"),
     )
-    unsettled = cells.where("_n > 1 and _least < _most").groupBy("_n", "_x", "_y").agg(F.min("cell").alias("cell"))
-    rows = known.join(unsettled.select("cell"), "cell")
-    ranked = group_rank(rows, ["cell"], [F.col("part"), F.col("id")], "_rank")
-    placed = keep(ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / BLOCK)), "blocks")
+    unsettled = cells.where("_parts > 1").groupBy("_n", "_x", "_y").agg(F.min(F.struct("cell", "_major")).alias("_c"))
+    rows = known.join(unsettled.select("_n", "_c.*"), "cell")
+    # The largest component of a cell of many blocks is in blocks of its own, which never meet each other.
+    rows = rows.select("cell", "id", "part", ((F.col("_n") > BLOCK) & (F.col("part") == F.col("_major"))).alias("_joined"))
+    ranked = group_rank(rows, ["cell", "_joined"], [F.col("part"), F.col("id")], "_rank")
+    block = F.floor((F.col("_rank") - 1) / BLOCK)
+    placed = keep(ranked.withColumn("_block", F.when(F.col("_joined"), -1 - block).otherwise(block)), "blocks")
     # Pairs of blocks of a cell, a block with itself too, unless both lie in one component as a whole.
     spans = placed.groupBy("cell", "_block").agg(F.min("part").alias("_from"), F.max("part").alias("_to"))
     left = spans.select("cell", F.col("_block").alias("i"), F.col("_from").alias("_f"), F.col("_to").alias("_t"))
     right = spans.select("cell", F.col("_block").alias("j"), "_from", "_to")
     mixed = F.least("_f", "_from") < F.greatest("_t", "_to")
-    wanted = left.join(right, "cell").where(F.col("i") <= F.col("j")).where(mixed).select(
+    once = (F.col("j") < 0) | (F.col("i") <= F.col("j"))
+    wanted = left.where("i >= 0").join(right, "cell").where(once & mixed).select(
         "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("_block")
     )
     blocks = (
