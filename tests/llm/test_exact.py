@@ -182,6 +182,25 @@ def test_a_family_of_copies_that_no_single_member_links(spark):
     assert len(set(want.values())) > 1 and got == want
 
 
+def test_cells_of_many_blocks(spark, monkeypatch):
+    # Close copies of one text and strays near the threshold, so that cells hold a large component and others.
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for j in rng.sample(range(80), rng.choice([0, 1, 1, 2, 3])):
+            copy[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i * 7 + 3, " ".join(copy)))
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, shingle=3, similarity=(90, 100)).collect()}
+    want = {i: c for i, (_, c) in plain_components(rows, 3, 90, 100).items()}
+    assert len(set(want.values())) > 1 and got == want
+
+
 def test_similar_rows_without_ids(spark, empty):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (3, "A B C D E"), (None, "alone in here it is"), (9, None)]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
