@@ -44,9 +44,9 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, d: str) -> DataFrame:
     """Documents labelled good are the target, all others the background."""
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct().withColumn("in_target", F.lit(True))
-    documents = table(spark, d, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return lmscore.cross_entropy_difference(documents.withColumn("in_target", F.coalesce("in_target", F.lit(False))))
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return lmscore.cross_entropy_difference(documents, target_col=None, targets=good)
 
 
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:

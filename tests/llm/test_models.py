@@ -103,6 +103,47 @@ def test_losses_match_plain_counts(spark, odd, empty):
     assert lmscore.cross_entropy_difference(empty.selectExpr("*", "true as in_target")).count() == 0
 
 
+def test_rare_words_of_a_large_corpus_are_in_the_models(spark):
+    """2.4 million words, most bigrams of which occur once: losses are those of all counts."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.2, 6000) % 200_000), i % 4 == 0) for i in range(400)]
+    found = {i: text.split() for i, text, _ in rows}
+    one, two, before = ({side: Counter() for side in (True, False)} for _ in range(3))
+    for i, _, side in rows:
+        one[side].update(found[i])
+        two[side].update(zip(found[i], found[i][1:]))
+        before[side].update(found[i][:-1])
+    size, total = len(set(one[True]) | set(one[False])), {side: sum(one[side].values()) for side in one}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, in_target boolean").repartition(6)
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(frame).collect()}
+    assert len(got) == len(rows) and all(r.n_words == 6000 for r in got.values())
+    for i, _, target in rows[::40] + rows[1::40]:
+        text, losses = found[i], []
+        own = Counter(text), Counter(zip(text, text[1:])), Counter(text[:-1])
+        for side in (True, False):
+            loss, mine = 0.0, side == target
+            for k, w in enumerate(text):
+                p = one[side][w] - mine * own[0][w] + lmscore.ADDED
+                p /= total[side] - mine * len(text) + lmscore.ADDED * (size + 1)
+                if k:
+                    v = text[k - 1]
+                    p = two[side][v, w] - mine * own[1][v, w] + lmscore.CONTEXT * p
+                    p /= before[side][v] - mine * own[2][v] + lmscore.CONTEXT
+                loss -= math.log(p)
+            losses.append(loss / len(text))
+        assert [got[i].target_loss, got[i].background_loss] == pytest.approx(losses, rel=1e-9)
+
+
+def test_target_ids_and_target_flags_score_alike(spark, odd):
+    texts = odd.select("doc_id", "text")
+    texts = texts.union(texts.limit(5)).union(texts.selectExpr("cast(null as bigint)", "text"))
+    ids = texts.where("doc_id % 3 = 0").select("doc_id").union(texts.selectExpr("cast(null as bigint)").limit(1))
+    flagged = lmscore.cross_entropy_difference(texts.selectExpr("*", "doc_id % 3 = 0 as in_target"))
+    marked = lmscore.cross_entropy_difference(texts, target_col=None, targets=ids)
+    rows = [sorted(((r.doc_id is None, r.doc_id, *map(str, r[1:])) for r in x.collect()), key=str) for x in (flagged, marked)]
+    assert len(rows[0]) == texts.count() and rows[0] == rows[1]
+
+
 def test_low_scores_read_like_the_target(spark, labels):
     rows = [r for r in queries.op3_lm_score(spark, LARGER).collect() if r.doc_id in labels]
     assert area([-r.score for r in rows], [labels[r.doc_id].quality for r in rows]) > 0.75
