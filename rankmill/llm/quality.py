@@ -18,8 +18,11 @@ from rankmill.llm.frames import with_id
 from rankmill.llm.words import LOWER, WHITE, Texts, Words, covered, group_sizes, mix, slices, span_hashes, sums, words
 
 BITS = 18
-# Labelled rows of each class that the classifier is fitted on, and their bytes (whole texts, smallest key first).
-SAMPLE = 1000
+# Labelled rows of each class that the classifier is fitted on: whole texts, smallest key first. Texts of any length
+# are hashed inside tasks; a text reaches the driver as at most 2 ** BITS features.
+SAMPLE = 1500
+# Entries of the sample that a step of the fit takes together.
+CHUNK = 1 << 20
 THRESHOLD = 0.5
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
@@ -94,11 +97,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> list:
-    """At most ``rows`` labelled texts of each class, those with the smallest hash of the id, as (label, text).
+def _sampled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled texts of each class, those with the smallest hash of the id: (id, label, _key, _text).
 
     Labels are 0 or 1 rows of (id, label); of several labels of one id the smallest counts. The choice is made
-    before texts are read, so only chosen texts reach the driver.
+    before texts are read.
     """
     one = labels.where(f"`{id_col}` is not null").groupBy(id_col).agg(F.min("label").alias("label"))
     keyed = one.withColumn("_key", F.xxhash64(id_col))
@@ -106,41 +109,120 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     chosen = chosen.unionByName(keyed.where("label = 1").orderBy("_key", id_col).limit(rows))
     # Bounded: two times ``rows`` ids. Repeated documents of an id count once, by their smallest text.
     texts = documents.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    found = texts.groupBy(id_col, "label", "_key").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("_text"))
+    return texts.groupBy(id_col, "label", "_key").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("_text"))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> list:
+    """The sampled texts as (label, text); only chosen texts reach the driver."""
+    found = _sampled(documents, labels, id_col, text_col, rows)
     return [(int(r["label"]), r["_text"]) for r in sorted(found.collect(), key=lambda r: (r["_key"], str(r[id_col])))]
 
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of mean feature values: (text, feature, value) with equal entries summed."""
-    parts = []
-    first = 0
-    for part in slices(pa.array(texts, pa.string())):
-        found = words(part, lower=True)
-        for text, feature in hashed_ngrams(part, found):
-            n = np.bincount(text, minlength=part.count)
-            key, count = np.unique(text << BITS | feature, return_counts=True)
-            value = (count / n[key >> BITS]).astype(np.float32)
-            parts.append((((key >> BITS) + first).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32), value))
-        first += part.count
-    if not parts:
+def _entries(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value) of a slice: the share of a feature in each kind of n-gram of its text, summed."""
+    keys, values = [], []
+    for text, feature in hashed_ngrams(part, words(part, lower=True)):
+        n = np.bincount(text, minlength=part.count)
+        key, count = np.unique(text << BITS | feature, return_counts=True)
+        keys.append(key)
+        values.append(count / n[key >> BITS])
+    if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    key, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(of, np.concatenate(values), len(key))
+
+
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature is; the texts themselves count as feature -1 - label."""
+    n, labels = np.zeros(1 << BITS, np.int64), np.zeros(2, np.int64)
+    for batch in batches:
+        labels += np.bincount(batch.column(0).to_numpy(zero_copy_only=False), minlength=2)
+        for part in slices(batch.column(3)):
+            n += np.bincount(_entries(part)[1], minlength=1 << BITS)
+    used = np.flatnonzero(n)
+    columns = [pa.array(np.append(used, [-1, -2])), pa.array(np.append(n[used], labels))]
+    yield pa.RecordBatch.from_arrays(columns, names=["feature", "n"])
+
+
+def _rows(usable: np.ndarray):
+    """Texts as lists of their usable features and values."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(3)):
+                text, feature, value = _entries(part)
+                keep = usable[feature]
+                ends = np.searchsorted(text[keep], np.arange(part.count + 1)).astype(np.int32)
+                lists = [pa.array(feature[keep].astype(np.int32)), pa.array(value[keep].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(i).slice(part.first, part.count) for i in range(3)),
+                        *(pa.ListArray.from_arrays(pa.array(ends), x) for x in lists),
+                    ],
+                    names=["label", "_key", "_id", "features", "values"],
+                )
+
+    return rows
+
+
+@dataclass
+class Matrix:
+    """Sparse rows of the sampled texts, in the order of their keys, with the label of each."""
+
+    y: np.ndarray
+    row: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.row), CHUNK):
+            yield self.row[i : i + CHUNK], self.feature[i : i + CHUNK], self.value[i : i + CHUNK]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(r, v * w[f], len(self.y)) for r, f, v in self.chunks()), np.zeros(len(self.y)))
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(f, v * error[r], 1 << BITS) for r, f, v in self.chunks()), np.zeros(1 << BITS))
 
 
-def _logistic(row, feature, value, y, weight, steps=200, rate=1.0, decay=1e-6):
-    """Weights of a logistic regression with shrinkage, by Adam over the whole sample.
+def _matrix(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> Matrix:
+    """The sample as feature rows. An n-gram in fewer than one of a hundred sampled texts is left out.
 
-    An n-gram in fewer than one of a hundred sampled texts has no weight.
+    Of a sample without both classes only the labels are read.
     """
-    n, size = len(y), 1 << BITS
-    usable = (np.bincount(feature, minlength=size) >= max(2, n // 100))[feature]
-    row, feature, value = row[usable], feature[usable], value[usable]
+    found = _sampled(documents, labels, id_col, text_col, rows).select(
+        F.col("label").cast("int"), "_key", F.col(id_col).cast("string").alias("_id"), "_text"
+    )
+    counts = found.mapInArrow(_text_counts, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = (counts.column(i).to_numpy() for i in (0, 1))
+    of_class = [int(n[feature == -1 - label].sum()) for label in (0, 1)]
+    if not all(of_class):
+        y = np.repeat([0.0, 1.0], of_class)
+        return Matrix(y, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    usable = np.zeros(1 << BITS, bool)
+    usable[feature[(feature >= 0) & (n >= max(2, sum(of_class) // 100))]] = True
+    sample = found.mapInArrow(
+        _rows(usable), "label int, _key bigint, _id string, features array<int>, values array<float>"
+    ).toArrow()
+    keys, ids = sample.column("_key").to_pylist(), sample.column("_id").to_pylist()
+    order = np.array(sorted(range(len(keys)), key=lambda i: (keys[i], ids[i])))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    features, values = sample.column("features"), sample.column("values")
+    sizes = np.concatenate([x.value_lengths().to_numpy() for x in features.chunks])
+    flat = [np.concatenate([x.flatten().to_numpy() for x in c.chunks]) for c in (features, values)]
+    return Matrix(sample.column("label").to_numpy()[order].astype(float), np.repeat(rank, sizes), *flat)
+
+
+def _logistic(matrix: Matrix, weight, steps=200, rate=1.0, decay=1e-6):
+    """Weights of a logistic regression with shrinkage, by Adam over the whole sample."""
+    size, y = 1 << BITS, matrix.y
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(row, value * w[feature], n) + bias
+        z = matrix.times(w) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(feature, value * error[row], size) + decay * w
+        g = matrix.gradient(error) + decay * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -175,19 +257,18 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     without any).
     """
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = labelled_sample(documents, labels, id_col, text_col, rows)
-    y = np.array([label for label, _ in sample], float)
+    matrix = _matrix(documents, labels, id_col, text_col, rows)
+    y = matrix.y
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS), 0.0, 0.0, 0.0 if not len(y) else 30.0 * (2 * y[0] - 1))
-    row, feature, value = _matrix([text for _, text in sample])
     balance = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum()) / len(y)
     fold = np.arange(len(y)) % 5
     if min(y.sum(), (1 - y).sum()) < 10:
-        w, bias = _logistic(row, feature, value, y, balance)
+        w, bias = _logistic(matrix, balance)
         return Model(w, bias)
     train = fold != 0
-    w, bias = _logistic(row, feature, value, y, balance * train)
-    margin = np.bincount(row, value * w[feature], len(y)) + bias
+    w, bias = _logistic(matrix, balance * train)
+    margin = matrix.times(w) + bias
     slope, offset = _platt(margin[~train], y[~train])
     # From the sample's shares to those of all labels.
     held = y[~train]

@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankmill.llm import lmscore, quality, queries, toxicity
+from rankmill.llm.words import slices, words
 from tests.llm.conftest import odd_rows
 
 LARGER = "/root/testdata/sf0.01"
@@ -66,6 +68,27 @@ def test_quality_of_documents_not_fitted_on(spark, labels):
     assert all(r.kept != r.base_failed for r in quality.apply_rules(documents, one_class).collect())
 
 
+def test_quality_sample_reaches_the_driver_as_feature_rows(spark, labels, monkeypatch):
+    """1,500 texts a class are fitted on, and no text is collected."""
+    monkeypatch.setattr(quality, "labelled_sample", None)
+    assert quality.SAMPLE == 1500
+    documents = spark.read.parquet(f"{LARGER}/documents.parquet")
+    rows = spark.read.parquet(f"{LARGER}/labels.parquet").selectExpr("doc_id", "quality as label")
+    matrix = quality._matrix(documents, rows, "doc_id", "text", 40)
+    chosen = quality._sampled(documents, rows, "doc_id", "text", 40).collect()
+    texts = [(int(r.label), r._text) for r in sorted(chosen, key=lambda r: (r._key, str(r.doc_id)))]
+    assert list(matrix.y) == [label for label, _ in texts] and len(texts) == 80
+    w = np.random.default_rng(2).normal(size=1 << quality.BITS)
+    seen = np.zeros(1 << quality.BITS, int)
+    parts = list(slices(pa.array([text for _, text in texts]), limit=1))
+    for part in parts:
+        seen[np.unique(np.concatenate([f for _, f in quality.hashed_ngrams(part, words(part, lower=True))]))] += 1
+    w[seen < 2] = 0
+    plain = [quality.Model(w, 0.0).margin(part, words(part, lower=True))[0] for part in parts]
+    assert matrix.times(w) == pytest.approx(plain, rel=1e-4, abs=1e-4)
+    assert quality.fit(documents, rows).weights.any()
+
+
 def plain_losses(rows):
     """Both losses of each text by plain counts; every word and bigram is in the models."""
     found = {i: [w.lower() for w in (t or "").split()] for i, t, _ in rows}
