@@ -19,10 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _of(docs: DataFrame, verdicts: DataFrame, keep_if: str) -> DataFrame:
-    """The documents whose id's verdict holds; rows without an id have none and go."""
-    ids = verdicts.where(keep_if).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+def _of(docs: DataFrame, verdicts: DataFrame, key: str, keep_if: str) -> DataFrame:
+    """The documents whose verdict holds; ``key`` is unique."""
+    ids = verdicts.where(keep_if).select(key).distinct()
+    return docs.join(ids, key, "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of texts with five-word shingle similarity of 0.8 or more."""
-    groups = jaccard.near_duplicates(docs, shingle=5, similarity=(80, 100))
-    return _of(docs, groups, "doc_id = component_id")
+    """The smallest id of each group of texts with five-word shingle similarity of 0.8 or more.
+
+    One row of a group stays: where ids are null or repeated, rows are numbered by id (null last) and text, and
+    each row is a document of its own.
+    """
+    key = "doc_id"
+    rows_of_id = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not rows_of_id.where("doc_id is null or n > 1").isEmpty():
+        key = "_row"
+        ordered = docs.select(*COLUMNS).orderBy(F.asc_nulls_last("doc_id"), "text")
+        docs = keep(ordered.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.near_duplicates(docs, key, shingle=5, similarity=(80, 100))
+    return _of(docs, groups, key, f"{key} = component_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,21 @@ def test_run_keeps_extra_columns_and_nulls_in_hand(spark, sf_dir):
         found = stage(spark, odd, sf_dir)
         assert tuple(found.columns) == corpus_pipeline.COLUMNS
         found.collect()
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark, sf_dir):
+    """Null and repeated ids: no text without a copy is lost, no second copy stays."""
+    a, b, c, d, e, f = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcdef")
+    rows = [
+        (None, a),
+        *[(None, b), (None, b), (None, b + " more")],
+        *[(5, c), (5, c), (5, c + " more")],
+        *[(6, d), (6, e)],
+        *[(9, f + " more"), (8, f), (None, f)],
+    ]
+    frame = spark.createDataFrame(
+        [(i, text, "en", "s", len(text)) for i, text in rows],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    kept = texts(corpus_pipeline.near_duplicates(spark, frame, sf_dir))
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (5, c), (6, d), (6, e), (8, f)], key=str)
