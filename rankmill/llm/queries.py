@@ -8,7 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankmill.llm import chat, decontaminate, jaccard, linededup, lmscore, packing, quality, sharding, substring, toxicity
+from rankmill.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    linededup,
+    lmscore,
+    manifest,
+    packing,
+    quality,
+    resample,
+    sharding,
+    sql,
+    substring,
+    tokenfiles,
+    toxicity,
+)
+from rankmill.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +135,26 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.apply_rules(documents, quality.fit(documents, labels))
 
 
+def op11_token_files(spark: SparkSession, d: str) -> DataFrame:
+    """All documents written as token files, and read back from them."""
+    path = scratch_path(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, d, "documents"), path)
+    read = tokenfiles.with_checksums(tokenfiles.document_index(spark, path), path)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op12_importance_resample(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh document or so, by a checksum of its id, is folded with one more in ``n_chars``."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    instead = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]
+    return manifest.manifest(table(spark, d, "documents"), fields, "lang", ["doc_id"], tampered, instead)
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
@@ -135,33 +171,17 @@ def all_queries() -> dict[str, Query]:
         op8_sharding,
         op9_substring_dedup,
         op10_quality_rules,
+        op11_token_files,
+        op12_importance_resample,
+        op13_merkle_manifest,
         pipeline,
     ]
     return {query.__name__: query for query in found}
 
 
-_LINE_DEDUP = """
-WITH lines AS (
-  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
-), keyed AS (
-  SELECT doc_id, pos, line,
-         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM lines
-), shared AS (
-  SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 2
-), judged AS (
-  SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id > s.keeper AS dropped
-  FROM keyed k LEFT JOIN shared s ON k.key = s.key
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP}
+    return {
+        "op2_line_dedup": sql.LINE_DEDUP,
+        "op12_importance_resample": sql.importance_resample(),
+        "op13_merkle_manifest": sql.merkle_manifest(),
+    }
