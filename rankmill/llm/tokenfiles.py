@@ -49,11 +49,11 @@ _BATCH_BYTES = 4 << 20
 # --- tokenizer ---------------------------------------------------------------------------------------
 
 # Distinct pieces of text whose ids a worker remembers.
-_REMEMBERED = 200_000
-# A stretch without white space in which words and signs can be told apart without tables: visible ASCII but the
-# apostrophe, and the letters of Latin-1. No character of it takes part in composition.
-_SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_REMEMBERED = 400_000
+# A line in which words and signs can be told apart without tables: blanks, visible ASCII but the apostrophe, and the
+# letters of Latin-1. No character of it takes part in composition.
+_SIMPLE = re.compile("[ \t\x0b\x0c\r!-&(-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\x0b\x0c\r]+")
 _ASCII_BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
@@ -80,12 +80,16 @@ class _Remembered(dict):
         return value
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """BPE over words that white space always separates, read from the JSON file of the tokenizers library.
 
-    The ids of a text are those of its stretches without white space, one after the other, so each distinct stretch
-    is encoded once. A simple stretch is cut to words, digits and signs here and each goes to the library's model;
-    any other goes through the whole tokenizer.
+    The ids of a text are those of its stretches without white space, one after the other. The stretches of a
+    simple line are cut to words, digits and signs here, and each distinct one goes to the library's model once; any
+    other distinct stretch goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -99,17 +103,21 @@ class WordTokenizer:
         self._stretches = _Remembered(self._stretch)
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else "".join(self._letters[b] for b in piece.encode())
-        return np.array([t.id for t in self._model.tokenize(letters)], "<u4").tobytes()
+        letters = piece if piece.isascii() else "".join(map(self._letters.__getitem__, piece.encode()))
+        return _packed([t.id for t in self._model.tokenize(letters)])
 
     def _stretch(self, text: str) -> bytes:
-        if _SIMPLE.fullmatch(text) and not any(s in text for s in self._special):
-            return b"".join(map(self._pieces.__getitem__, _PIECES.findall(text.lower())))
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        return b"".join(map(self._stretches.__getitem__, filter(None, _ASCII_BLANKS.split(text))))
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            if _SIMPLE.fullmatch(line) and not any(s in line for s in self._special):
+                out.extend(map(self._pieces.__getitem__, _PIECES.findall(line.lower())))
+            else:
+                out.extend(map(self._stretches.__getitem__, filter(None, _ASCII_BLANKS.split(line))))
+        return b"".join(out)
 
 
 def public_tokenizer() -> WordTokenizer:
