@@ -351,6 +351,66 @@ CTES: dict[str, str] = {
       SELECT page_id, {_entries("regexp_replace(q, '#.*$', '', 's')")} AS e FROM page_queries""",
 }
 
+# Unicode white space, and what is not.
+_BLANK = r"\t-\r \x{85}\x{A0}\p{Zs}\p{Zl}\p{Zp}"
+
+
+def _repeat_ctes(name: str, text: str) -> dict[str, str]:
+    """``<name>_out(doc_id, t)``: documents with ``text`` after both steps of the removal of repeats.
+
+    Runs of a character are cut by a filter over the characters. The second step works on the distinct words: at
+    each place the shortest repeated piece, then from left to right those that do not overlap.
+    """
+    once = (
+        "array_to_string(list_filter(c, lambda x, i: x = chr(10) OR i < 3 "
+        "OR NOT (c[greatest(i - 1, 1)] = x AND c[greatest(i - 2, 1)] = x)), '')"
+    )
+    return {
+        f"{name}_once": f"""
+      SELECT doc_id, {once} AS t FROM (SELECT doc_id, string_split({text}, '') AS c FROM documents)""",
+        f"{name}_parts": f"""
+      SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n
+      FROM (SELECT doc_id, regexp_extract_all(t, '[^{_BLANK}]+|[{_BLANK}]+') AS parts FROM {name}_once)""",
+        f"{name}_words": f"""
+      SELECT DISTINCT part AS w FROM {name}_parts WHERE length(part) >= 4""",
+        f"{name}_pieces": f"""
+      SELECT w, i, substr(w, i, 2) AS piece FROM (SELECT w, unnest(range(1, length(w))) AS i FROM {name}_words)""",
+        f"{name}_found": f"""
+      SELECT w, i, p,
+             list_max(list_filter(range(2, length(w) // p + 1),
+                                  lambda m: substr(w, i, p * m) = repeat(substr(w, i, p), m))) AS times
+      FROM (SELECT a.w, a.i, min(b.i - a.i) AS p FROM {name}_pieces a JOIN {name}_pieces b
+              ON a.w = b.w AND a.piece = b.piece AND b.i >= a.i + 2
+            WHERE a.i + 2 * (b.i - a.i) - 1 <= length(a.w) AND substr(a.w, a.i, b.i - a.i) = substr(a.w, b.i, b.i - a.i)
+            GROUP BY a.w, a.i)""",
+        f"{name}_taken": f"""
+      SELECT w, 1 AS at, 0 AS i, 0 AS p, 0 AS times FROM {name}_words
+      UNION ALL
+      SELECT w, first.i + first.p * first.times, first.i, first.p, first.times
+      FROM (SELECT t.w, arg_min({{'i': f.i, 'p': f.p, 'times': f.times}}, f.i) AS first
+            FROM {name}_taken t JOIN {name}_found f ON f.w = t.w AND f.i >= t.at GROUP BY t.w)""",
+        f"{name}_short": f"""
+      SELECT w, array_to_string(list_filter(string_split(w, ''), lambda x, n:
+               len(list_filter(gaps, lambda g: n >= g.a AND n < g.b)) = 0), '') AS short
+      FROM (SELECT w, list({{'a': i + p, 'b': i + p * times}}) AS gaps FROM {name}_taken WHERE p > 0 GROUP BY w)""",
+        f"{name}_out": f"""
+      SELECT o.doc_id, CASE WHEN o.t = '' THEN '' ELSE j.t END AS t FROM {name}_once o LEFT JOIN
+        (SELECT doc_id, string_agg(coalesce(short, part), '' ORDER BY n) AS t
+         FROM {name}_parts LEFT JOIN {name}_short ON w = part GROUP BY doc_id) j USING (doc_id)""",
+    }
+
+
+_NARROW = "abcdefghijklmnopqrstuvwxyz0123456789 "
+_WIDE = "".join("　" if c == " " else chr(ord(c) + 0xFEE0) for c in _NARROW)
+_ALL_WIDE = "".join(map(chr, range(0xFF00, 0xFF5F))) + "　"
+_ALL_NARROW = "".join(map(chr, range(0x20, 0x7F))) + " "
+CTES |= _repeat_ctes("shrunk", "text")
+CTES |= _repeat_ctes(
+    "cleaned",
+    "translate(replace(replace(text, chr(10), ' '), chr(13), ''), "
+    f"'{_ALL_WIDE}', '{_ALL_NARROW.replace(chr(39), chr(39) * 2)}')",
+)
+
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
 
@@ -363,8 +423,13 @@ def _sql(body: str) -> str:
         if name not in needed:
             needed.add(name)
             open_names |= set(_NAMES.findall(CTES[name])) - needed
-    parts = [f"{name} AS MATERIALIZED ({sql})" for name, sql in CTES.items() if name in needed]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body
+    # A part that names itself is recursive, and kept anyway.
+    own = {name for name in needed if name in _NAMES.findall(CTES[name])}
+    parts = [
+        f"{name} AS {'' if name in own else 'MATERIALIZED '}({sql})" for name, sql in CTES.items() if name in needed
+    ]
+    start = "WITH RECURSIVE" if own else "WITH"
+    return (f"{start} {', '.join(parts)} " if parts else "") + body
 
 
 def _dates(*names: str) -> str:
@@ -416,8 +481,6 @@ _NNZ = " + ".join(f"CASE WHEN {_number(n)} <> 0 THEN 1 ELSE 0 END" for n in _EXP
 _EXPORT_SUMMARY = (
     "SELECT '{0}' AS name, count(*) AS n_rows, count(DISTINCT gid) AS n_groups, count(*) AS grouped_rows FROM {1}"
 )
-_NARROW = "abcdefghijklmnopqrstuvwxyz0123456789 "
-_WIDE = "".join("　" if c == " " else chr(ord(c) + 0xFEE0) for c in _NARROW)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -438,6 +501,11 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN date = DATE '{TEST_START}' THEN n * 100 ELSE n END AS "count" FROM counts""",
         "read_through": f"""SELECT jobno, viewJob_total, web_total, open_days,
             {_dates("start_date", "stop_date")} FROM train_features""",
+        "dataset_read_through": f"SELECT * REPLACE ({_SET_REPLACE}) FROM train_set",
+        "incremental_days": f"""SELECT {_dates("date")}, count(*) AS n_rows, CAST(sum(impr) AS BIGINT) AS impr,
+            CAST(sum(click) AS BIGINT) AS click,
+            CASE WHEN date BETWEEN DATE '2024-01-05' AND DATE '{TRAIN_STOP}' THEN 1 ELSE 2 END AS call,
+            'click_grouped' AS input FROM ctr_rows GROUP BY date""",
         "to_libsvm_lines": f"""SELECT gid, pos_in_list, {_LINE} || ' # gid:' || gid || ' job:' || job AS value
             FROM train_set""",
         "group_lengths": "SELECT gid, count(*) AS length FROM exploded GROUP BY gid",
@@ -545,6 +613,9 @@ def oracle_sql() -> dict[str, str]:
         "testset_dataset": f"SELECT * REPLACE ({_SET_REPLACE}) FROM test_set",
         "to_halfwidth": f"""SELECT doc_id,
             md5(translate(translate(text, '{_NARROW}', '{_WIDE}'), '{_WIDE}', '{_NARROW}')) AS digest FROM documents""",
+        "rm_repeat": """SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n_chars FROM shrunk_out""",
+        "simple_clean": f"""SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n_chars
+            FROM (SELECT doc_id, regexp_replace(lower(t), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS t FROM cleaned_out)""",
         "tokenize": f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest
             FROM (SELECT doc_id, {_tokens("text")} AS t FROM documents)""",
         "postings": "SELECT field, CAST(job AS BIGINT) AS job, token FROM job_postings",

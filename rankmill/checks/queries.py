@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -14,10 +15,11 @@ from rankmill.checks import adapters as raw
 from rankmill.functions import metrics, querystring, scalars, text
 from rankmill.operators import actions, clicks, folds, jobs, ranking, scoring, textscore
 from rankmill.plans import dataset as ds
-from rankmill.plans import export
+from rankmill.plans import export, training
 from rankmill.plans.features import date_window, features
 from rankmill.sources import catalog
 from rankmill.sources.scratch import keep, scratch_path
+from rankmill.sources.stages import days
 from rankmill.sources.tables import TableSpec, read_table, read_through, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,7 +168,7 @@ def scan_parquet(spark, d):
 
 @query
 def sink_parquet(spark, d):
-    return _flat(_stored(_counts(spark, d), catalog.ACTION_COUNT))
+    return _flat(_stored(_counts(spark, d), replace(catalog.ACTION_COUNT, partition_by=())))
 
 
 @query
@@ -220,6 +222,42 @@ def read_through_(spark, d):
     return _flat(lookup().select("jobno", "viewJob_total", "web_total", "open_days", "start_date", "stop_date"))
 
 
+def _store(spark, d):
+    sources = {
+        "actions": lambda: raw.action_log(spark, d),
+        "clicks": lambda: raw.click_log(spark, d),
+        "jobs": lambda: raw.job_master(spark, d),
+        "companies": lambda: raw.company_master(spark, d),
+    }
+    ids = {"action_id": F.col("event_id"), "click_id": F.col("click_id")}
+    return training.training_store(spark, scratch_path(spark, "stages"), sources, TRAIN_START, LAST_DAY, **ids)
+
+
+@query
+def dataset_read_through(spark, d):
+    """The training set from stored stages, all of which the first call builds."""
+    store = _store(spark, d)
+    key = training.dataset_key(TRAIN_START, TRAIN_STOP)
+    store.ensure("dataset", [key])
+    return _flat(store.read("dataset", [key]))
+
+
+@query
+def incremental_days(spark, d):
+    """Click rates of every day, built in two calls for windows that overlap: which build made each day's rows."""
+    store = _store(spark, d)
+    store.ensure("click_ctr", days("2024-01-05", TRAIN_STOP))
+    before = sorted({entry.build for entry in store.entries("click_ctr").values()})
+    rows = store.read("click_ctr", days(TRAIN_START, LAST_DAY))
+    counted = rows.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("impr").alias("impr"), F.sum("click").alias("click")
+    )
+    made = store.lineage().where(F.col("stage") == "click_ctr").select(
+        F.to_date("key").alias("date"), F.when(F.col("build").isin(before), 1).otherwise(2).alias("call"), "input"
+    )
+    return _flat(counted.join(made, "date"))
+
+
 def _export_frame(spark, d):
     """Training rows with the exported numbers rounded, so that their text is short."""
     frame = _dataset(spark, d)

@@ -37,18 +37,23 @@ TESTSET_LOG = TableSpec("testset-click.json", "json", TESTSET_SCHEMA)
 JOB_MASTER = TableSpec("job.json", "json")
 COMPANY_MASTER = TableSpec("company.json", "json")
 
-ACTION_PROCESSED = TableSpec("train-action-processed.pq")
-ACTION_COUNT = TableSpec("train-action-count.pq")
-ACTION_UNSTACKED = TableSpec("train-action-unstacked.pq")
-CLICK_PROCESSED = TableSpec("train-click-processed.pq")
-CLICK_GROUPED = TableSpec("train-click-grouped.pq")
+# One folder a day.
+DAY = ("date",)
+
+ACTION_PROCESSED = TableSpec("train-action-processed.pq", partition_by=DAY)
+ACTION_COUNT = TableSpec("train-action-count.pq", partition_by=DAY)
+ACTION_UNSTACKED = TableSpec("train-action-unstacked.pq", partition_by=DAY)
+CLICK_PROCESSED = TableSpec("train-click-processed.pq", partition_by=DAY)
+CLICK_GROUPED = TableSpec("train-click-grouped.pq", partition_by=DAY)
 CLICK_EXPLODED = TableSpec("train-click-exploded.pq")
-CLICK_CTR = TableSpec("train-click-ctr.pq")
+CLICK_CTR = TableSpec("train-click-ctr.pq", partition_by=DAY)
+JOB_DAYS = TableSpec("job-days.pq", partition_by=DAY)
 JOB_DATE_RANGE = TableSpec("train-action-date-range.pq")
 JOB_PROCESSED = TableSpec("job-processed.pq")
 COMPANY_PROCESSED = TableSpec("company-processed.pq")
 JOB_COMPANY = TableSpec("job-company-joined.pq")
 JOB_COMPANY_JSON = TableSpec("job-company-joined.json", "json")
+TOKEN_INDEX = TableSpec("token-index.pq")
 FEATURES = TableSpec("features.pq", partition_by=FEATURE_WINDOW)
 DATASET = TableSpec("fast/dataset.pq", partition_by=DATASET_WINDOW)
 TESTSET = TableSpec("testset.pq", partition_by=DATASET_WINDOW)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,31 @@ def test_tokens(spark):
     assert one(spark, None, text.tokenize) is None
     assert tuple(one(spark, " Ａb  ", text.tokenize_to_struct)) == (" Ａb  ", ["ab"])
     assert tuple(one(spark, None, text.tokenize_to_struct)) == (None, None)
+
+
+def test_long_stretches_match_a_plain_statement(spark):
+    rng = random.Random(3)
+    texts = ["", "x" * 500, "ab" * 400, "好" * 300]
+    for _ in range(150):
+        letters = rng.choice(["ab", "abc", "安哈好😀x", "abcdefghijklmnopqrst"])
+        t = "".join(rng.choice(letters) for _ in range(rng.choice([50, 140, 300])))
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(t))
+            j = min(len(t), i + rng.choice([3, 70, 100, 130]))
+            t = t[:j] + t[i:j] * rng.choice([1, 2, 3]) + rng.choice(["", " ", "xy"]) + t[j:]
+        texts.append(t)
+    frame = spark.createDataFrame([(t,) for t in texts], "x string")
+    rows = frame.select("x", text.rm_repeat(F.col("x")).alias("r")).collect()
+    assert [r.r for r in rows] == [py_rm_repeat(r.x) for r in rows]
+
+
+def test_long_texts_take_no_quadratic_time(spark):
+    """Characters without blanks between them; the second text holds a long piece twice."""
+    rng = random.Random(4)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000))
+    frame = spark.createDataFrame([(han,)], "x string").select(text.rm_repeat(F.col("x")).alias("r"))
+    frame.collect()
+    start = time.perf_counter()
+    assert frame.first().r == han
+    assert time.perf_counter() - start < 3
+    assert one(spark, han[:9000] + han[1000:], text.rm_repeat) == han
