@@ -85,12 +85,38 @@ def _query_string(k: Column, keyword: Column) -> Column:
     )
 
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def _plain_word(line: Column) -> Column:
+    """The first word of ASCII letters between blanks, or at an end; NULL if there is none."""
+    found = F.regexp_extract(F.lower(line), "(^| )([a-z]+)( |$)", 2)
+    return F.when(found != "", found)
+
+
+def _query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document a word of its first, second and last line."""
+    lines = _lines(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat_ws(
+            " ", _plain_word(F.get(lines, 0)), _plain_word(F.get(lines, 1)), _plain_word(F.element_at(lines, -1))
+        ).alias("words"),
+    )
+
+
 def result_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shown result list per order: 1 to 13 item numbers, some lists repeating one item."""
-    orders = _spread(table(spark, sf_dir, "orders"), "o_orderkey")
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("o_custkey"), "p_name")
+    """One shown result list per order: 1 to 13 item numbers, some lists repeating one item.
+
+    The query has words of the first item, of its kinds and of its company's text.
+    """
+    orders = _spread(table(spark, sf_dir, "orders"), "o_orderkey").withColumn("doc_id", F.floor(F.col("o_custkey") / 2))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("o_custkey"), "p_name", "p_type")
+    orders = orders.join(_query_words(spark, sf_dir), "doc_id", "left")
     k = F.col("o_orderkey")
-    keyword = F.concat(F.col("p_name"), F.lit(" "), F.expr("substr(o_orderpriority, 3)"))
+    parts = (F.col("p_name"), F.lower("p_type"), F.lit("brand company"), F.col("words"), F.expr("substr(o_orderpriority, 3)"))
+    keyword = F.when(F.col("p_name").isNotNull(), F.concat_ws(" ", *parts))
     items = F.transform(F.sequence(F.lit(0), (k % 13).cast("int")), lambda i: F.col("o_custkey") + i * (k % 7))
     millis = F.lit(FIRST_DAY_MS) + (k % 31) * F.lit(DAY_MS) + (k * 7919) % F.lit(DAY_MS)
     return orders.join(names, "o_custkey", "left").select(
@@ -109,7 +135,9 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     flag = F.col("l_returnflag")
     action = (
-        F.when((flag == "A") & (F.col("l_linestatus") == "O"), "clickShare")
+        F.when(F.col("l_linenumber") == 6, "saveJob")
+        .when(F.col("l_linenumber") == 5, "applyJob")
+        .when((flag == "A") & (F.col("l_linestatus") == "O"), "clickShare")
         .when(flag == "A", "clickJob")
         .when(flag == "R", "clickSave")
         .otherwise("clickApply")
@@ -140,7 +168,7 @@ def _uuid_of(number: Column) -> Column:
 
 
 def job_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items from ``part``; twenty parts share a company."""
+    """Items from ``part``; two parts share a company."""
     k = F.col("p_partkey")
 
     def small(modulus: int) -> Column:
@@ -150,7 +178,7 @@ def job_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (k % modulus).cast("string")
 
     return _spread(table(spark, sf_dir, "part"), "p_partkey").select(
-        _uuid_of(F.floor(k / 20)).alias("custno"),
+        _uuid_of(F.floor(k / 2)).alias("custno"),
         k.cast("string").alias("jobno"),
         F.col("p_type").alias("description"),
         F.col("p_name").alias("job"),
@@ -187,29 +215,34 @@ def job_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies from ``supplier``, profile text from the document of the same number."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_suppkey"), "text")
-    empty = F.lit(None).cast("string")
+    """A company per document, whose text is its profile; the first ones have the name and number of a supplier.
+
+    Three more texts are the first, the second and the last line of the profile.
+    """
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_suppkey", "s_name")
+    lines = _lines(F.col("text"))
     return (
-        _spread(table(spark, sf_dir, "supplier"), "s_suppkey")
-        .join(texts, "s_suppkey", "left")
+        table(spark, sf_dir, "documents")
+        # By key on both sides: cleaning the texts is spread over all tasks.
+        .join(suppliers.hint("merge"), "doc_id", "left")
         .select(
-            _uuid_of(F.col("s_suppkey")).alias("custno"),
+            _uuid_of(F.col("doc_id")).alias("custno"),
             F.col("s_suppkey").alias("invoice"),
-            F.col("s_name").alias("name"),
-            empty.alias("management"),
-            empty.alias("product"),
+            F.coalesce("s_name", F.concat(F.lit("Company#"), F.col("doc_id").cast("string"))).alias("name"),
+            F.get(lines, 0).alias("management"),
+            F.get(lines, 1).alias("product"),
             F.col("text").alias("profile"),
-            empty.alias("welfare"),
+            F.element_at(lines, -1).alias("welfare"),
         )
     )
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking groups from ``lineitem``: label by flag, prediction with many ties."""
+    """Ranking groups from ``lineitem``, some 30 rows each: label by flag, prediction with many ties."""
     label = F.when(F.col("l_linestatus") == "O", 0).otherwise(_grade(F.col("l_returnflag")))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("gid"),
+        F.floor(F.col("l_orderkey") / 8).alias("gid"),
+        "l_orderkey",
         label.cast("bigint").alias("y"),
         F.col("l_discount").alias("pred"),
         F.col("l_linenumber"),

@@ -159,6 +159,10 @@ def _dataset_select(labels: str, where: str, start: str, stop: str) -> str:
       FROM {labels} l LEFT JOIN train_features f ON f.jobno = l.job {where}"""
 
 
+def _word(line: str) -> str:
+    return f"nullif(regexp_extract(lower({line}), '(^| )([a-z]+)( |$)', 2), '')"
+
+
 CTES: dict[str, str] = {
     "action_raw": """
       SELECT event_id, user_id AS jobno, epoch_us(ts) // 1000 AS ms,
@@ -182,13 +186,17 @@ CTES: dict[str, str] = {
         for s in SOURCES
     )
     + " FROM counts GROUP BY date, jobno))",
+    "query_words": f"""
+      SELECT doc_id, concat_ws(' ', {_word("lines[1]")}, {_word("lines[2]")}, {_word("lines[-1]")}) AS words
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)""",
     "lists": """
       SELECT o_orderkey AS k, list_transform(range(0, o_orderkey % 13 + 1), lambda i: o_custkey + i * (o_orderkey % 7))
                AS joblist,
              1704067200000 + (o_orderkey % 31) * 86400000 + (o_orderkey * 7919) % 86400000 AS ms,
              CASE o_orderkey % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'mobileWeb' ELSE 'app' END AS source,
              CASE WHEN o_orderkey % 5 = 0 OR p_name IS NULL THEN '' WHEN o_orderkey % 5 = 1 THEN 'keyword=&'
-                  ELSE 'keyword=' || replace(p_name || ' ' || substr(o_orderpriority, 3), ' ', '+') || '&' END
+                  ELSE 'keyword=' || replace(concat_ws(' ', p_name, lower(p_type), 'brand company', words,
+                                                       substr(o_orderpriority, 3)), ' ', '+') || '&' END
              || 'edu=2%2C' || o_orderkey % 4 || '&order=' || o_orderkey % 7 || '&asc=&mode='
              || CASE o_orderkey % 3 WHEN 0 THEN 's' WHEN 1 THEN 'l' ELSE 'z' END
              || '&kwop=' || o_orderkey % 2
@@ -199,7 +207,7 @@ CTES: dict[str, str] = {
              || CASE WHEN o_orderkey % 6 = 0 THEN '&order=9&broken' ELSE '' END
              || CASE WHEN o_orderkey % 8 = 0 THEN '&s5=256&sr=99&m=1' ELSE '&s5=1' END
              || '#frag' || o_orderkey AS querystring
-      FROM orders LEFT JOIN part ON p_partkey = o_custkey""",
+      FROM orders LEFT JOIN part ON p_partkey = o_custkey LEFT JOIN query_words q ON q.doc_id = o_custkey // 2""",
     "list_entries": f"""
       SELECT *, {_entries("regexp_replace(querystring, '#.*$', '', 's')")} AS e FROM lists""",
     "parsed_lists": "SELECT k, joblist, ms, CAST(make_timestamp(ms * 1000) AS DATE) AS date, source, querystring, "
@@ -209,7 +217,8 @@ CTES: dict[str, str] = {
       SELECT *, {_tokens("p_keyword")} AS tokens, {_gid()} AS gid FROM parsed_lists""",
     "click_raw": """
       SELECT k * 10 + l_linenumber AS id, i.*,
-             CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'clickShare' WHEN l_returnflag = 'A' THEN 'clickJob'
+             CASE WHEN l_linenumber = 6 THEN 'saveJob' WHEN l_linenumber = 5 THEN 'applyJob'
+                  WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'clickShare' WHEN l_returnflag = 'A' THEN 'clickJob'
                   WHEN l_returnflag = 'R' THEN 'clickSave' ELSE 'clickApply' END AS action,
              CASE WHEN l_linenumber = 7 THEN l_partkey
                   ELSE joblist[(l_linenumber + l_partkey) % len(joblist) + 1] END AS jobno
@@ -254,7 +263,7 @@ CTES: dict[str, str] = {
       JOIN (SELECT job AS jobno, min(date) AS click_date_start, max(date) AS click_date_stop FROM exploded GROUP BY job)
       USING (jobno)""",
     "job_raw": f"""
-      SELECT {_uuid("p_partkey // 20")} AS custno, p_partkey AS jobno, p_type AS description, p_name AS job,
+      SELECT {_uuid("p_partkey // 2")} AS custno, p_partkey AS jobno, p_type AS description, p_name AS job,
              p_brand AS others, CAST(p_size AS BIGINT) AS edu, {_numbers(_TEXT_MODULI, True)},
              CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE CAST(p_partkey % 13 AS VARCHAR) END AS exp_jobcat3,
              {_numbers(_NUMBER_MODULI, False)}, CAST(floor(p_retailprice * 2) AS BIGINT) AS salary_high,
@@ -268,12 +277,20 @@ CTES: dict[str, str] = {
     + " + CAST('0x' || substr(replace(custno, '-', ''), 17) AS UBIGINT)) % 2305843009213693951 AS BIGINT)"
     + " AS custno_long FROM job_raw",
     "company_rows": f"""
-      SELECT {_uuid("s_suppkey")} AS custno, s_suppkey AS invoice, s_name AS name, text AS profile
-      FROM supplier LEFT JOIN documents ON doc_id = s_suppkey""",
+      SELECT {_uuid("doc_id")} AS custno, s_suppkey AS invoice, coalesce(s_name, 'Company#' || doc_id) AS name,
+             lines[1] AS management, lines[2] AS product, text AS profile, lines[-1] AS welfare
+      FROM (SELECT *, string_split(text, chr(10)) AS lines FROM documents) LEFT JOIN supplier ON doc_id = s_suppkey""",
+    "company_texts": "SELECT DISTINCT unnest([name, management, product, profile, welfare]) AS doc_id FROM company_rows",
     "texts": f"""
       SELECT jobno AS job, 'description' AS field, {_cleaned("description")} AS t FROM job_rows
       UNION ALL SELECT jobno, 'job', {_cleaned("job")} FROM job_rows
-      UNION ALL SELECT jobno, 'others', {_cleaned("others")} FROM job_rows""",
+      UNION ALL SELECT jobno, 'others', {_cleaned("others")} FROM job_rows
+      """
+    + " ".join(
+        f"""UNION ALL SELECT jobno, '{n}', lower(t) FROM job_rows j JOIN company_rows c ON j.custno = c.custno
+            JOIN field_out ON doc_id = {n}"""
+        for n in ("management", "name", "product", "profile", "welfare")
+    ),
     "job_postings": f"""
       SELECT DISTINCT field, job, unnest({_tokens("t")}) AS token FROM texts""",
     "idfs": """
@@ -307,7 +324,7 @@ CTES: dict[str, str] = {
           LEFT JOIN matches m USING (k, job)""",
     "test_set": _dataset_select("test_labels", "", TRAIN_START, TRAIN_STOP),
     "scored": """
-      SELECT l_orderkey AS gid, l_discount AS pred, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+      SELECT l_orderkey // 8 AS gid, l_orderkey, l_discount AS pred, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
              CASE WHEN l_linestatus = 'O' THEN 0 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 3 END
                AS y FROM lineitem""",
     "ranked": """
@@ -315,13 +332,13 @@ CTES: dict[str, str] = {
              row_number() OVER (PARTITION BY gid ORDER BY y DESC) AS best,
              row_number() OVER w AS pos, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) OVER w AS hits
       FROM scored
-      WINDOW w AS (PARTITION BY gid ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice
+      WINDOW w AS (PARTITION BY gid ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
                    ROWS UNBOUNDED PRECEDING)""",
     "group_scores": """
       SELECT gid, count(*) AS n,
              coalesce(sum(y / ln(rank + 1)) / nullif(sum(y / ln(best + 1)), 0), 0) AS ndcg,
-             coalesce(sum(y / ln(rank + 1)) FILTER (rank <= 2) / nullif(sum(y / ln(best + 1)) FILTER (best <= 2), 0), 0)
-               AS ndcg_2,
+             coalesce(sum(y / ln(rank + 1)) FILTER (rank <= 20) / nullif(sum(y / ln(best + 1)) FILTER (best <= 20), 0), 0)
+               AS ndcg_20,
              sum(hits / pos) FILTER (y > 0) / count(*) FILTER (y > 0) AS ap
       FROM ranked GROUP BY gid""",
     "sequence_rows": """
@@ -355,8 +372,8 @@ CTES: dict[str, str] = {
 _BLANK = r"\t-\r \x{85}\x{A0}\p{Zs}\p{Zl}\p{Zp}"
 
 
-def _repeat_ctes(name: str, text: str) -> dict[str, str]:
-    """``<name>_out(doc_id, t)``: documents with ``text`` after both steps of the removal of repeats.
+def _repeat_ctes(name: str, text: str, rows: str = "documents") -> dict[str, str]:
+    """``<name>_out(doc_id, t)``: ``rows`` with ``text`` after both steps of the removal of repeats.
 
     Runs of a character are cut by a filter over the characters. The second step works on the distinct words: at
     each place the shortest repeated piece, then from left to right those that do not overlap.
@@ -367,7 +384,7 @@ def _repeat_ctes(name: str, text: str) -> dict[str, str]:
     )
     return {
         f"{name}_once": f"""
-      SELECT doc_id, {once} AS t FROM (SELECT doc_id, string_split({text}, '') AS c FROM documents)""",
+      SELECT doc_id, {once} AS t FROM (SELECT doc_id, string_split({text}, '') AS c FROM {rows})""",
         f"{name}_parts": f"""
       SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n
       FROM (SELECT doc_id, regexp_extract_all(t, '[^{_BLANK}]+|[{_BLANK}]+') AS parts FROM {name}_once)""",
@@ -405,11 +422,19 @@ _WIDE = "".join("　" if c == " " else chr(ord(c) + 0xFEE0) for c in _NARROW)
 _ALL_WIDE = "".join(map(chr, range(0xFF00, 0xFF5F))) + "　"
 _ALL_NARROW = "".join(map(chr, range(0x20, 0x7F))) + " "
 CTES |= _repeat_ctes("shrunk", "text")
-CTES |= _repeat_ctes(
-    "cleaned",
-    "translate(replace(replace(text, chr(10), ' '), chr(13), ''), "
-    f"'{_ALL_WIDE}', '{_ALL_NARROW.replace(chr(39), chr(39) * 2)}')",
-)
+
+
+def _one_line(text: str) -> str:
+    narrow = _ALL_NARROW.replace("'", "''")
+    return f"translate(replace(replace({text}, chr(10), ' '), chr(13), ''), '{_ALL_WIDE}', '{narrow}')"
+
+
+CTES |= _repeat_ctes("cleaned", _one_line("text"))
+CTES |= _repeat_ctes("field", _one_line("doc_id"), "company_texts")
+
+# Parts come before those that name them.
+_LATER = ("texts", "job_postings", "idfs", "query_tokens", "matches", "labels_scored", "train_set", "valid_labels", "test_labels", "test_set")
+CTES |= {name: CTES.pop(name) for name in _LATER}
 
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
@@ -517,9 +542,16 @@ def oracle_sql() -> dict[str, str]:
         "job_processed": "SELECT * EXCLUDE (custno_long), "
         + _join(f"array_to_string({_tokens(_cleaned(n))}, ' ') AS {n}_token" for n in ("description", "job", "others"))
         + " FROM job_rows",
-        "company_processed": f"""SELECT custno, invoice, name, array_to_string({_tokens("lower(regexp_replace(name, '0{3,}', '00', 'g'))")}, ' ')
-            AS name_token, CAST(NULL AS VARCHAR) AS management, CAST(NULL AS VARCHAR) AS management_token,
-            md5(profile) AS profile FROM company_rows""",
+        "company_processed": f"""SELECT custno, invoice, name, array_to_string({_tokens("lower(n.t)")}, ' ') AS name_token, """
+        + _join(
+            f"md5({n}) AS {n}_text, md5(array_to_string({_tokens(f'lower({a}.t)')}, ' ')) AS {n}_token"
+            for a, n in (("m", "management"), ("p", "product"), ("r", "profile"), ("w", "welfare"))
+        )
+        + """ FROM company_rows LEFT JOIN field_out n ON n.doc_id = name"""
+        + " ".join(
+            f" LEFT JOIN field_out {a} ON {a}.doc_id = {n}"
+            for a, n in (("m", "management"), ("p", "product"), ("r", "profile"), ("w", "welfare"))
+        ),
         "label_flatten": "SELECT gid, pos_in_list, job, rel, "
         + _join(f"p_{n} AS \"{n}\"" for n in SCALARS)
         + f", {_rounded(_SCORES)} FROM labels_scored WHERE date BETWEEN DATE '{TRAIN_START}' AND DATE '{LAST_DAY}'",
@@ -578,7 +610,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN job = jobno THEN action END AS action
             FROM (SELECT id, source, date, ms, p_keyword AS keyword, {_list_text("tokens")} AS tokens, jobno, action,
                          CAST(generate_subscripts(joblist, 1) - 1 AS INTEGER) AS pos, unnest(joblist) AS job FROM click_rows)""",
-        "label_with_action": """SELECT CASE WHEN job = jobno AND action = 'clickJob' THEN 1 ELSE 0 END AS label, id, pos,
+        "label_with_action": """SELECT CASE WHEN job <> jobno THEN 0 WHEN action = 'clickJob' THEN 1 WHEN action = 'saveJob' THEN 2
+            WHEN action = 'applyJob' THEN 3 ELSE 0 END AS label, id, pos,
             """
         + _join(f"round({a}, 6) AS {a}" for a in ACTIONS)
         + """ FROM (SELECT id, jobno, action, CAST(generate_subscripts(joblist, 1) - 1 AS INTEGER) AS pos,
@@ -639,7 +672,7 @@ def oracle_sql() -> dict[str, str]:
             (SELECT list_transform(joblist, lambda j: CASE WHEN j = jobno THEN weight ELSE 0 END) AS r FROM click_rows)""",
         "rerank": "SELECT gid, rank, CAST(y AS BIGINT) AS y, pred FROM ranked",
         "ndcg_prediction": "SELECT gid, n, round(ndcg, 6) AS ndcg FROM group_scores",
-        "ndcg_prediction_mean": "SELECT round(avg(ndcg_2), 6) AS ndcg FROM group_scores",
+        "ndcg_prediction_mean": "SELECT round(avg(ndcg_20), 6) AS ndcg FROM group_scores",
         "mean_average_precision": """SELECT round(avg(coalesce(ap, 0.0)), 6) AS ap, 'zero' AS empty_group FROM group_scores
             UNION ALL SELECT round(avg(ap), 6), 'skip' FROM group_scores""",
         "chunk20_ndcg": "SELECT round(avg(truth), 6) AS ndcg FROM chunk_scores",

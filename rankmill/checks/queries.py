@@ -89,7 +89,8 @@ def _docs(spark, d):
 
 
 def _index(spark, d):
-    return keep(textscore.field_tokens(_docs(spark, d)), "token-index")
+    tokens = keep(textscore.field_tokens(_docs(spark, d)), "field-tokens")
+    return _stored(textscore.weighted_index(tokens), catalog.TEXT_INDEX)
 
 
 def _testset_rows(spark, d):
@@ -332,9 +333,11 @@ def company_processed(spark, d):
         "invoice",
         F.col("name.keyword").alias("name"),
         F.array_join("name.token", " ").alias("name_token"),
-        F.col("management.keyword").alias("management"),
-        F.array_join("management.token", " ").alias("management_token"),
-        F.md5("profile.keyword").alias("profile"),
+        *(
+            F.md5(part).alias(f"{name}_{kind}")
+            for name in jobs.COMPANY_TEXT[1:]
+            for kind, part in (("text", F.col(f"{name}.keyword")), ("token", F.array_join(f"{name}.token", " ")))
+        ),
     )
 
 
@@ -707,13 +710,12 @@ def ndcg_prediction(spark, d):
 @query
 def ndcg_prediction_mean(spark, d):
     scored = raw.scored_rows(spark, d)
-    at_20 = ranking.mean_metric(ranking.grouped_ndcg(scored, k=2), "ndcg")
-    return _flat(at_20)
+    return _flat(ranking.mean_metric(ranking.grouped_ndcg(scored, k=20), "ndcg"))
 
 
 @query
 def mean_average_precision(spark, d):
-    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = raw.scored_rows(spark, d).withColumn("pos", place)
     scores = [
         ranking.mean_metric(ranking.grouped_average_precision(rows, "pos", empty_group=rule), "ap").withColumn(

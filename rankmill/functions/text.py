@@ -20,6 +20,7 @@ _WORD_REPEAT = r"(?U)(\S{2,}?)\1+"
 _LONG = 128
 _SHORT_REPEAT = rf"(?U)(\S{{2,{_LONG // 2}}}?)\1+"
 _LONG_STRETCH = rf"(?U)\S{{{_LONG + 1},}}"
+_HAS_LONG_STRETCH = rf"(?U)(?:^|\s)\S{{{_LONG + 1}}}"
 # Distances between equal stretches that are tried one by one; with more, every length is.
 _DISTANCES = 8
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
@@ -81,7 +82,7 @@ def _repeat_pattern(text: Column) -> Column:
 
     stretches = F.regexp_extract_all(text, F.lit(_LONG_STRETCH), F.lit(0))
     long = bind(F.array_distinct(F.flatten(F.transform(stretches, _recurring))), chosen)
-    return F.when(text.rlike(_LONG_STRETCH), long).otherwise(F.lit(_SHORT_REPEAT))
+    return F.when(text.rlike(_HAS_LONG_STRETCH), long).otherwise(F.lit(_SHORT_REPEAT))
 
 
 @named

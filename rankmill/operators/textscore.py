@@ -1,9 +1,9 @@
 """Text-match scores of listed jobs against the query tokens, from a token index kept as a table.
 
-The index (``field_tokens``) is read by several steps: build it once and store it.
-
 A field holds a set of tokens, so a match scores the token's inverse document frequency in that field,
-``ln(1 + (N - df + 0.5) / (df + 0.5))``; a token given twice in the query counts twice.
+``ln(1 + (N - df + 0.5) / (df + 0.5))``; a token given twice in the query counts twice. These weights are computed when
+the index is built. It holds one row per job, a hash table of its tokens, and is stored in buckets of the job: scoring lists
+moves the lists to the index and never the index.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.functions.expressions import bind
-from rankmill.sources.scratch import keep
+
+# Share of all listed positions above which a job is joined by broadcast.
+HOT_SHARE = 1 / 256
 
 # Searched fields, in output order.
 TEXT_FIELDS = ("description", "job", "others", "management", "name", "product", "profile", "welfare")
@@ -26,7 +28,7 @@ SCORE_COLUMNS = tuple(map(score_column, TEXT_FIELDS))
 
 
 def field_tokens(docs: DataFrame, key: str = "jobno") -> DataFrame:
-    """The index: one row (job, field, tokens) per text that has tokens, each token once.
+    """One row (job, field, tokens) per text that has tokens, each token once.
 
     ``key`` must be unique in ``docs``.
     """
@@ -51,58 +53,81 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("field", "job", F.explode("tokens").alias("token"))
 
 
-def idf_table(index: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """(field, token, df, idf) of the postings of the index, or of ``entries``, those of some tokens only."""
-    if entries is None:
-        entries = postings(index)
-    frequency = entries.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+def idf_table(index: DataFrame) -> DataFrame:
+    """(field, token, df, idf) of the postings of ``field_tokens``."""
+    frequency = postings(index).groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     # One row per field: at most len(TEXT_FIELDS) rows, so the broadcast cannot grow with the data.
     sizes = index.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))
     rare = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     return frequency.join(F.broadcast(sizes), "field").select("field", "token", "df", F.log1p(rare).alias("idf"))
 
 
-def weighted_docs(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Per job one map ``token -> struct of idf by field``, cut to the tokens any query uses.
+# Parts into which a job's tokens are dealt by hash.
+SLOTS = 64
+
+
+def _slot(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+
+
+def weighted_index(index: DataFrame) -> DataFrame:
+    """(job, slots) of ``field_tokens``: a hash table of a job's tokens, each with a field that has it and its weight.
 
-    The postings of those tokens are written once: counting and weighting both read them.
+    ``index`` is read twice, so it should be stored. Token counts are combined before they are shuffled; a token that
+    is everywhere only makes the postings side of its join large, which adaptive execution splits.
     """
-    entries = keep(postings(index).join(vocabulary, "token", "left_semi"), "matching-postings")
-    weights = idf_table(index, entries).select("field", "token", "idf")
-    by_token = (
-        entries.join(weights, ["field", "token"])
-        .groupBy("job", "token")
-        .agg(*(F.max(F.when(F.col("field") == name, F.col("idf"))).alias(score_column(name)) for name in TEXT_FIELDS))
-    )
-    entry = F.struct("token", F.struct(*SCORE_COLUMNS))
-    # Bounded by the tokens of one job's texts.
-    return by_token.groupBy("job").agg(F.map_from_entries(F.collect_list(entry)).alias("weights"))
+    weighed = postings(index).join(idf_table(index).select("field", "token", "idf"), ["field", "token"])
+    number = F.array_position(F.array(*map(F.lit, TEXT_FIELDS)), F.col("field")).cast("tinyint")
+    # Partitioned by job once; both groupings keep to that. Bounded by the tokens of one job's texts.
+    by_slot = weighed.repartition("job").groupBy("job", _slot(F.col("token")).alias("slot"))
+    listed = by_slot.agg(F.collect_list(F.struct("token", number.alias("field"), "idf")).alias("entries"))
+    return listed.groupBy("job").agg(F.map_from_entries(F.collect_list(F.struct("slot", "entries"))).alias("slots"))
+
+
+def _score_struct(query: Column, slots: Column) -> Column:
+    """Eight sums over the query tokens; of a job's entries only those in a token's slot are looked at."""
 
+    def of_token(token: Column) -> Column:
+        return F.filter(F.try_element_at(slots, _slot(token)), lambda e: e["token"] == token)
 
-def _score_struct(tokens: Column, weights: Column) -> Column:
-    """Eight sums over the query tokens; the map is searched once per token."""
-    hits = F.filter(F.transform(tokens, lambda token: F.try_element_at(weights, token)), lambda hit: hit.isNotNull())
+    def total(held: Column, number: int) -> Column:
+        added = F.aggregate(held, F.lit(0.0), lambda acc, e: acc + F.when(e["field"] == number, e["idf"]).otherwise(0.0))
+        return F.coalesce(added, F.lit(0.0)).alias(SCORE_COLUMNS[number - 1])
 
-    def total(found: Column, name: str) -> Column:
-        added = F.aggregate(found, F.lit(0.0), lambda acc, hit: acc + F.coalesce(hit[name], F.lit(0.0)))
-        return F.coalesce(added, F.lit(0.0)).alias(name)
+    found = F.flatten(F.array_compact(F.transform(query, of_token)))
+    return bind(found, lambda held: F.struct(*(total(held, i + 1) for i in range(len(TEXT_FIELDS)))))
 
-    return bind(hits, lambda found: F.struct(*(total(found, name) for name in SCORE_COLUMNS)))
 
+def _hot_jobs(lists: DataFrame, share: float) -> list[int]:
+    """Jobs with more than ``share`` of all positions: fewer than 1 / ``share`` of them."""
+    n_all = lists.agg(F.sum(F.size("joblist"))).first()[0] or 0
+    counted = lists.select(F.explode("joblist").alias("job")).groupBy("job").agg(F.count(F.lit(1)).alias("n"))
+    return [row["job"] for row in counted.where((F.col("n") > share * n_all) & F.col("job").isNotNull()).collect()]
 
-def text_field_scores(lists: DataFrame, index: DataFrame) -> DataFrame:
+
+def text_field_scores(lists: DataFrame, index: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     """Eight scores per (gid, pos_in_list, job) for ``lists(gid, joblist, tokens)``; no match scores 0.
 
-    ``lists`` is read twice, so it should be stored. The index is joined once per job, not once per token: its side holds one row per job, so a popular
-    job only makes the list side large, which adaptive execution can split.
+    ``index`` is a stored ``weighted_index`` in buckets of ``job``, so only the positions are shuffled. Jobs that make
+    up more than ``hot_share`` of all positions would fill one bucket's task: fewer than 1 / ``hot_share``, their rows
+    of the index are broadcast instead and their positions stay where they are. ``lists`` is read several times, so
+    it should be stored.
     """
-    vocabulary = lists.select(F.explode("tokens").alias("token")).distinct()
-    weights = weighted_docs(index, vocabulary)
     positions = lists.select("gid", "tokens", F.posexplode("joblist").alias("pos_in_list", "job"))
-    scored = positions.join(weights, "job", "left").select(
-        "gid", "pos_in_list", "job", _score_struct(F.col("tokens"), F.col("weights")).alias("text_score")
+    hot = _hot_jobs(lists, hot_share)
+    rows = index.select("job", "slots")
+    if hot:
+        is_hot = F.coalesce(F.col("job").isin(hot), F.lit(False))
+        few = F.broadcast(rows.where(F.col("job").isin(hot)))
+        joined = positions.where(~is_hot).join(rows.hint("merge"), "job", "left").unionByName(
+            positions.where(is_hot).join(few, "job", "left")
+        )
+    else:
+        joined = positions.join(rows.hint("merge"), "job", "left")
+    score = _score_struct(F.col("tokens"), F.col("slots"))
+    return joined.select("gid", "pos_in_list", "job", score.alias("text_score")).select(
+        "gid", "pos_in_list", "job", "text_score.*"
     )
-    return scored.select("gid", "pos_in_list", "job", "text_score.*")
 
 
 def with_text_scores(grouped: DataFrame, index: DataFrame) -> DataFrame:

@@ -83,17 +83,20 @@ def training_store(
         ]
         return _union(made)
 
-    def index(store: Store, keys: Sequence[Key]) -> DataFrame:
+    def tokens(store: Store, keys: Sequence[Key]) -> DataFrame:
         joined = jobs.job_company(
             store.stored("job_processed", [WHOLE]), store.stored("company_processed", [WHOLE])
         )
         return textscore.field_tokens(joined)
 
+    def index(store: Store, keys: Sequence[Key]) -> DataFrame:
+        return textscore.weighted_index(store.stored("field_tokens", [WHOLE]))
+
     def datasets(store: Store, keys: Sequence[Key]) -> DataFrame:
-        tokens = store.stored("token_index", [WHOLE])
+        weights = store.stored("text_index", [WHOLE])
         made = []
         for start, stop, from_day, to_day in keys:
-            lists = textscore.with_text_scores(store.stored("click_grouped", days(start, stop)), tokens)
+            lists = textscore.with_text_scores(store.stored("click_grouped", days(start, stop)), weights)
             items = store.stored("features", [(from_day, to_day)])
             made.append(ds.dataset(clicks.click_exploded(lists), items, start, stop, from_day, to_day))
         return _union(made)
@@ -114,8 +117,9 @@ def training_store(
             "company_processed": Stage(
                 catalog.COMPANY_PROCESSED, lambda store, keys: jobs.company_processed(sources["companies"]())
             ),
-            "token_index": Stage(
-                catalog.TOKEN_INDEX, index, lambda key: {"job_processed": [WHOLE], "company_processed": [WHOLE]}
+            "text_index": Stage(catalog.TEXT_INDEX, index, lambda key: {"field_tokens": [WHOLE]}),
+            "field_tokens": Stage(
+                catalog.FIELD_TOKENS, tokens, lambda key: {"job_processed": [WHOLE], "company_processed": [WHOLE]}
             ),
             "features": Stage(
                 catalog.FEATURES,
@@ -125,7 +129,7 @@ def training_store(
             "dataset": Stage(
                 catalog.DATASET,
                 datasets,
-                lambda key: {"click_grouped": _window(key), "features": [key[2:]], "token_index": [WHOLE]},
+                lambda key: {"click_grouped": _window(key), "features": [key[2:]], "text_index": [WHOLE]},
             ),
         },
     )

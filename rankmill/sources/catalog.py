@@ -53,7 +53,8 @@ JOB_PROCESSED = TableSpec("job-processed.pq")
 COMPANY_PROCESSED = TableSpec("company-processed.pq")
 JOB_COMPANY = TableSpec("job-company-joined.pq")
 JOB_COMPANY_JSON = TableSpec("job-company-joined.json", "json")
-TOKEN_INDEX = TableSpec("token-index.pq")
+FIELD_TOKENS = TableSpec("field-tokens.pq")
+TEXT_INDEX = TableSpec("text-index.pq", bucket_by=("job",), buckets=64)
 FEATURES = TableSpec("features.pq", partition_by=FEATURE_WINDOW)
 DATASET = TableSpec("fast/dataset.pq", partition_by=DATASET_WINDOW)
 TESTSET = TableSpec("testset.pq", partition_by=DATASET_WINDOW)
