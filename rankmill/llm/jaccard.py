@@ -8,8 +8,10 @@ A text's set of shingles is hashed into groups. Two views of the groups bring si
 * Count vectors. The number of shingles in each of 64 groups is a point. The overlap of two sets is at most the
   sum over the groups of the smaller count, for a pair of points as for a point and a box of an R-tree.
 
-In a cell each set is first compared with the smallest id there. Cells that this does not settle index their
-points in R-trees, which give the pairs whose bound is high enough; every such pair is verified on the sets.
+All candidate pairs come from R-trees over points. An id that is the smallest of some cells queries trees of all the
+others it meets there; once the links of those pairs are known, cells that they do not settle index their points and
+are queried by each of their members. A pair whose bound is high enough is bounded once more, by counts in as many
+groups as half its shingles, and what remains is verified on the sets.
 """
 
 from __future__ import annotations
@@ -253,17 +255,84 @@ def _enough(both: Column, total: Column, threshold: Threshold) -> Column:
     return both.cast("bigint") * (threshold.num + threshold.den) >= total.cast("bigint") * threshold.num
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs whose sum of smaller counts allows similarity."""
-    left = points.select(F.col("id").alias("a"), F.col("point").alias("x"))
-    right = points.select(F.col("id").alias("b"), F.col("point").alias("y"))
+def _star_prober(threshold: Threshold):
+    """Of an id's partners those that the tree of their points finds near its own point."""
 
-    def added(counts: Column) -> Column:
-        return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for a, point, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = RTree(np.array([x["point"] for x in others], np.int64))
+                found = tree.near(np.array(point, np.int64), threshold)
+                out += ((a, others[i]["b"], others[i]["shared"]) for i in found.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["a", "b", "shared"]
+            )
+
+    return probe
+
+
+def _near(star: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs (a, b, shared) that R-trees over the points of each id's partners give for its own point.
 
-    most = added(F.zip_with("x", "y", lambda x, y: F.least(x, y)))
-    joined = pairs.join(right, "b").join(left, "a")
-    return joined.where(_enough(most, added(F.col("x")) + added(F.col("y")), threshold)).drop("x", "y")
+    The partners of a hub are dealt to blocks of about BLOCK by hash, a tree each.
+    """
+    blocks = star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    partners = points.select(F.col("id").alias("b"), "point")
+    dealt = star.join(blocks, "a").withColumn("_block", F.pmod(F.xxhash64("b"), F.col("_blocks")))
+    others = F.collect_list(F.struct("b", "shared", "point")).alias("others")
+    grouped = dealt.join(partners, "b").groupBy("a", "_block").agg(others)
+    own = points.select(F.col("id").alias("a"), "point")
+    rows = grouped.join(own, "a").select("a", "point", "others")
+    return rows.mapInArrow(_star_prober(threshold), "a bigint, b bigint, shared bigint")
+
+
+def _finely(hashes: np.ndarray) -> bytes:
+    """Counts in a power of two of groups, about two shingles in each; a byte per group, 255 standing for any more."""
+    bits = max(6, (len(hashes) // 2).bit_length())
+    group = (mix(hashes) >> _U(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(group, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _allows(x: bytes, y: bytes, threshold: Threshold) -> bool:
+    """Whether the sum of smaller counts allows similarity; of two resolutions the coarser is taken."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    if max(a.max(), b.max()) == 255:
+        return True
+    total = int(a.sum() + b.sum())
+    size = min(len(a), len(b))
+    a, b = (v.reshape(size, -1).sum(axis=1) for v in (a, b))
+    return int(np.minimum(a, b).sum()) >= threshold.need(total)
+
+
+def _narrowed(pairs: DataFrame, rows: DataFrame, shingle: int, threshold: Threshold) -> DataFrame:
+    """Pairs (a, b, ...) whose fine counts allow similarity; far fewer bytes move than sets have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                text, hashes = shingle_sets(part, shingle)
+                offsets = np.searchsorted(text, np.arange(part.count + 1))
+                fine = [_finely(hashes[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.first, part.count), pa.array(fine, pa.binary())], names=["id", "fine"]
+                )
+
+    names = pairs.columns
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
+            stay = [_allows(v, w, threshold) for v, w in zip(x, y, strict=True)]
+            yield batch.filter(pa.array(stay, pa.bool_())).select(names)
+
+    pairs = keep(pairs, "near")
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    fine = keep(rows.join(wanted, "id", "left_semi").mapInArrow(count, "id bigint, fine binary"), "fine")
+    left = fine.select(F.col("id").alias("a"), F.col("fine").alias("_x"))
+    right = fine.select(F.col("id").alias("b"), F.col("fine").alias("_y"))
+    joined = pairs.join(right, "b").join(left, "a").select(*names, "_x", "_y")
+    return joined.mapInArrow(judge, pairs.schema)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
@@ -375,7 +444,8 @@ def near_duplicates(
     star = members.groupBy(F.col("_first").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     # An id has at most one pair a cell.
     of_id = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    pairs = keep(_bounded(star, points, threshold).withColumn("_rank", of_id), "pairs")
+    near = _narrowed(_near(star, points, threshold), rows, shingle, threshold)
+    pairs = keep(near.withColumn("_rank", of_id), "pairs")
     sets = _sets(rows, pairs, shingle)
     # Most copies are linked with the id they share most cells with. So that pair of an id is verified first, and
     # of the others only those that these links leave apart.
@@ -385,7 +455,8 @@ def near_duplicates(
     if not apart.isEmpty():
         links = links.union(_similar(apart, sets, threshold))
         found = keep(components(links), "components")
-    opened = keep(_open_pairs(members.select("cell", "id"), found, points, threshold), "open")
+    opened = _open_pairs(members.select("cell", "id"), found, points, threshold)
+    opened = keep(_narrowed(opened, rows, shingle, threshold), "open")
     more = _similar(opened, _sets(rows, opened, shingle), threshold)
     whole = components(links.union(more)) if not more.isEmpty() else found
     named = digested.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("node"))
