@@ -341,6 +341,18 @@ CTES: dict[str, str] = {
                AS ndcg_20,
              sum(hits / pos) FILTER (y > 0) / count(*) FILTER (y > 0) AS ap
       FROM ranked GROUP BY gid""",
+    "empty_rules": """
+      SELECT rule AS empty_group, avg(coalesce(ndcg_all, other)) AS ndcg, avg(coalesce(ndcg_cut, other)) AS ndcg_20,
+             avg(coalesce(ap, other)) AS ap
+      FROM (SELECT ap, CASE WHEN gain > 0 THEN ndcg END AS ndcg_all, CASE WHEN gain > 0 THEN ndcg_20 END AS ndcg_cut
+            FROM group_scores JOIN (SELECT gid, sum(y) AS gain FROM scored GROUP BY gid) USING (gid)),
+           (VALUES ('zero', 0.0), ('one', 1.0), ('skip', NULL)) AS rules(rule, other)
+      GROUP BY rule""",
+    "flag_ranks": """
+      SELECT l_returnflag AS gid, CAST(l_quantity % 4 AS BIGINT) AS y,
+             row_number() OVER (PARTITION BY l_returnflag ORDER BY l_discount DESC, CAST(l_quantity % 4 AS BIGINT) DESC) AS rank,
+             row_number() OVER (PARTITION BY l_returnflag ORDER BY CAST(l_quantity % 4 AS BIGINT) DESC) AS best
+      FROM lineitem""",
     "sequence_rows": """
       SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS chunk, row_number() OVER (ORDER BY doc_id) AS n,
              quality + toxic AS y, doc_id % 7 AS pred FROM labels""",
@@ -673,8 +685,15 @@ def oracle_sql() -> dict[str, str]:
         "rerank": "SELECT gid, rank, CAST(y AS BIGINT) AS y, pred FROM ranked",
         "ndcg_prediction": "SELECT gid, n, round(ndcg, 6) AS ndcg FROM group_scores",
         "ndcg_prediction_mean": "SELECT round(avg(ndcg_20), 6) AS ndcg FROM group_scores",
-        "mean_average_precision": """SELECT round(avg(coalesce(ap, 0.0)), 6) AS ap, 'zero' AS empty_group FROM group_scores
-            UNION ALL SELECT round(avg(ap), 6), 'skip' FROM group_scores""",
+        "ndcg_empty_rules": "SELECT empty_group, round(ndcg_20, 6) AS ndcg FROM empty_rules",
+        "ndcg_hot_group": """SELECT gid, count(*) AS n,
+            round(sum(y / ln(rank + 1)) FILTER (rank <= 500) / sum(y / ln(best + 1)) FILTER (best <= 500), 6) AS ndcg
+            FROM flag_ranks GROUP BY gid""",
+        "mean_average_precision": "SELECT empty_group, round(ap, 6) AS ap FROM empty_rules",
+        "metric_set": """SELECT 'ndcg' AS metric, round(ndcg, 6) AS value FROM empty_rules WHERE empty_group = 'one'
+            UNION ALL SELECT 'map', round(ap, 6) FROM empty_rules WHERE empty_group = 'one'
+            UNION ALL SELECT 'ndcg@20', round(ndcg_20, 6) FROM empty_rules WHERE empty_group = 'one'
+            UNION ALL SELECT 'ndcg@20-', round(ndcg_20, 6) FROM empty_rules WHERE empty_group = 'zero'""",
         "chunk20_ndcg": "SELECT round(avg(truth), 6) AS ndcg FROM chunk_scores",
         "chunk20_ndcg_prediction": "SELECT round(avg(predicted), 6) AS ndcg FROM chunk_scores",
         "cv_folds": "SELECT * EXCLUDE (d0), "

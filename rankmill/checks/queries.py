@@ -714,16 +714,35 @@ def ndcg_prediction_mean(spark, d):
 
 
 @query
-def mean_average_precision(spark, d):
+def ndcg_empty_rules(spark, d):
+    """NDCG at 20 under all rules for groups without gain."""
+    scores = ranking.grouped_ndcg(raw.scored_rows(spark, d), k=20, empty_group="skip")
+    return _flat(ranking.mean_by_rule(scores, "ndcg"))
+
+
+@query
+def ndcg_hot_group(spark, d):
+    """Every group a large part of all rows, and handled as such."""
+    rows = raw.table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("gid"), (F.col("l_quantity") % 4).cast("bigint").alias("y"), F.col("l_discount").alias("pred")
+    )
+    return _flat(ranking.grouped_ndcg(rows, k=500, big_group=1000))
+
+
+def _placed(spark, d):
     place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = raw.scored_rows(spark, d).withColumn("pos", place)
-    scores = [
-        ranking.mean_metric(ranking.grouped_average_precision(rows, "pos", empty_group=rule), "ap").withColumn(
-            "empty_group", F.lit(rule)
-        )
-        for rule in ("zero", "skip")
-    ]
-    return _flat(scores[0].unionByName(scores[1]))
+    return raw.scored_rows(spark, d).withColumn("pos", place)
+
+
+@query
+def mean_average_precision(spark, d):
+    scores = ranking.grouped_average_precision(_placed(spark, d), "pos", empty_group="skip")
+    return _flat(ranking.mean_by_rule(scores, "ap"))
+
+
+@query
+def metric_set(spark, d):
+    return _flat(ranking.metric_set(_placed(spark, d), "pos"))
 
 
 def _sequence(spark, d):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.functions.metrics import EMPTY_GROUP, discount, ndcg_at_k, rerank
-from rankmill.operators.running import group_totals, number_rows
+from rankmill.operators.running import BIG_GROUP, group_totals, in_groups, number_rows, window_totals
 
 CHUNK = 20
 
@@ -29,7 +30,11 @@ def rank_rows(
 ) -> DataFrame:
     """Add the 1-based ``rank`` by falling prediction inside each group; larger labels first among ties."""
     order = [F.desc(prediction), F.desc(label)]
-    return group_totals(scored, group, order, {"rank": _one()})
+
+    def ranked(totals):
+        return lambda rows: totals(rows, group, order, {"rank": _one()})
+
+    return in_groups(scored, group, ranked(window_totals), ranked(group_totals))
 
 
 def grouped_ndcg(
@@ -40,15 +45,22 @@ def grouped_ndcg(
     k: int | None = None,
     method: int = 1,
     empty_group: str = "zero",
+    big_group: int = BIG_GROUP,
 ) -> DataFrame:
     """NDCG of the predicted order per group: (group, n, ndcg); ``empty_group`` scores groups without gain.
 
-    A group is summed up, not gathered, whatever its size.
+    A group is summed up, not gathered, whatever its size. Both orders of a small group are made from one shuffle.
     """
-    ranked = group_totals(
-        scored.select(group, label, prediction), group, [F.desc(prediction), F.desc(label)], {"_rank": _one()}
-    )
-    ranked = group_totals(ranked, group, [F.desc(label)], {"_best": _one()})
+    narrow = scored.select(group, label, prediction)
+
+    def both(totals):
+        def ranks(rows: DataFrame) -> DataFrame:
+            predicted = totals(rows, group, [F.desc(prediction), F.desc(label)], {"_rank": _one()})
+            return totals(predicted, group, [F.desc(label)], {"_best": _one()})
+
+        return ranks
+
+    ranked = in_groups(narrow, group, both(window_totals), both(group_totals), big_group)
 
     def gain(position: str) -> Column:
         value = F.col(label).cast("double") / discount(F.col(position), method)
@@ -68,8 +80,11 @@ def grouped_average_precision(
 ) -> DataFrame:
     """Average precision of the given order per group; ``empty_group`` scores groups without positives."""
     positive = F.when(F.col(label) > 0, _one()).otherwise(F.lit(0).cast("bigint"))
-    totals = {"_rank": _one(), "_hits": positive}
-    ranked = group_totals(rows.select(group, label, position), group, [F.col(position)], totals)
+
+    def ranks(totals):
+        return lambda found: totals(found, group, [F.col(position)], {"_rank": _one(), "_hits": positive})
+
+    ranked = in_groups(rows.select(group, label, position), group, ranks(window_totals), ranks(group_totals))
     precision = F.sum(F.when(F.col(label) > 0, F.col("_hits") / F.col("_rank")))
     hits = F.sum(F.when(F.col(label) > 0, 1))
     score = F.coalesce(F.try_divide(precision, hits), F.lit(EMPTY_GROUP[empty_group]).cast("double"))
@@ -81,6 +96,41 @@ def mean_metric(scores: DataFrame, name: str) -> DataFrame:
     return scores.agg(F.avg(name).alias(name))
 
 
+def mean_by_rule(scores: DataFrame, name: str) -> DataFrame:
+    """(empty_group, mean): the mean under every rule for empty groups, from one ranking.
+
+    ``scores`` must have been made with the rule ``skip``, which leaves an empty group without a score.
+    """
+    rules = {
+        rule: F.avg(F.col(name) if value is None else F.coalesce(F.col(name), F.lit(float(value))))
+        for rule, value in EMPTY_GROUP.items()
+    }
+    entries = F.array(*(F.struct(F.lit(r).alias("empty_group"), F.col(r).alias(name)) for r in rules))
+    means = scores.agg(*(mean.alias(rule) for rule, mean in rules.items()))
+    return means.select(F.inline(entries))
+
+
+def metric_set(
+    scored: DataFrame, position: str, group: str = "gid", label: str = "y", prediction: str = "pred", k: int = CHUNK
+) -> DataFrame:
+    """(metric, value): ``ndcg``, ``map``, ``ndcg@k`` and ``ndcg@k-``, means over groups.
+
+    A group without positive labels counts 1, and 0 where the name ends in a minus. ``position`` is the logged order,
+    which ``map`` judges.
+    """
+    def means(scores: DataFrame, name: str) -> DataFrame:
+        return mean_by_rule(scores, name).withColumnRenamed(name, "value")
+
+    def ndcg(cut: int | None) -> DataFrame:
+        return means(grouped_ndcg(scored, group, label, prediction, cut, empty_group="skip"), "ndcg")
+
+    precision = means(grouped_average_precision(scored, position, group, label, empty_group="skip"), "ap")
+    at_k = ndcg(k)
+    chosen = [(ndcg(None), "one", "ndcg"), (precision, "one", "map"), (at_k, "one", f"ndcg@{k}"), (at_k, "zero", f"ndcg@{k}-")]
+    rows = [f.where(F.col("empty_group") == rule).select(F.lit(n).alias("metric"), "value") for f, rule, n in chosen]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def mean_list_ndcg(lists: DataFrame, labels: str = "rel_list", k: int | None = None, method: int = 1) -> DataFrame:
     """One row: mean NDCG of the label lists held in the rows."""
     return lists.agg(F.avg(ndcg_at_k(F.col(labels), k, method)).alias("ndcg"))

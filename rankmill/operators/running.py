@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,3 +173,33 @@ def group_totals(
     return _spread_copies(summed, partitions, block).select(
         *df.columns, *((F.col(f"_e_{name}") - F.col(f"_w_{name}") * after).alias(name) for name in names)
     )
+
+
+# Rows of a group that one task may sort.
+BIG_GROUP = 100_000
+
+
+def in_groups(
+    df: DataFrame,
+    group: str,
+    small: Callable[[DataFrame], DataFrame],
+    big: Callable[[DataFrame], DataFrame],
+    limit: int = BIG_GROUP,
+) -> DataFrame:
+    """``small`` over the rows of groups of at most ``limit`` rows, which meet one task each, and ``big`` over the rest.
+
+    Both must give the same rows for any group; NULL is a group. Groups are counted by partial aggregates first. Without
+    a big one, which is known before anything else runs, the result is ``small`` of all rows.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    large = sizes.select(F.col(group).alias("_large"))
+    if large.isEmpty():
+        return small(df)
+    same = df[group].eqNullSafe(F.col("_large"))
+    return small(df.join(large, same, "left_anti")).unionByName(big(df.join(large, same, "left_semi")))
+
+
+def window_totals(df: DataFrame, group: str, order_by: Sequence[Column], totals: Mapping[str, Column]) -> DataFrame:
+    """As ``group_totals``, for groups that one task can sort: several orders of one group share its partition."""
+    upto = Window.partitionBy(group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({name: F.sum(weight).over(upto) for name, weight in totals.items()})

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from rankmill.operators import ranking, running
+from rankmill.operators.running import group_totals, in_groups, window_totals
 
 
 def scored(spark, seed=2):
@@ -75,3 +76,24 @@ def test_chunks_keep_a_short_last_one(spark):
     frame = spark.createDataFrame([(i, i % 2) for i in range(45)], "i bigint, y bigint")
     sizes = {r.chunk: len(r.y) for r in ranking.chunk_lists(frame, [F.col("i")], ["y"]).collect()}
     assert sizes == {0: 20, 1: 20, 2: 5}
+
+
+def test_big_and_small_groups_are_ranked_alike(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3, 4]), rng.randrange(5), rng.randrange(3)) for _ in range(400)]
+    rows += [(9, i, i) for i in range(3)]
+    frame = spark.createDataFrame(rows, "g int, v int, w int")
+    totals = {"n": F.lit(1).cast("bigint"), "s": F.col("w").cast("bigint")}
+
+    def with_limit(limit):
+        found = in_groups(
+            frame,
+            "g",
+            lambda df: window_totals(df, "g", [F.col("v"), F.col("w")], totals),
+            lambda df: group_totals(df, "g", [F.col("v"), F.col("w")], totals),
+            limit,
+        )
+        return sorted(map(tuple, found.select("g", "v", "w", "n", "s").collect()), key=repr)
+
+    assert with_limit(10**6) == with_limit(50) == with_limit(0)
+    assert len(with_limit(50)) == len(rows)
