@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.llm.frames import whole_rows, with_id
+from rankmill.sources.scratch import keep
 
 WINDOW = 10
 # Characters of distinct windows in one automaton, which bounds a Python worker's memory; a larger benchmark is
 # cut to several automata, and each scans every text.
 BLOCK_CHARS = 4 << 20
-MAX_BLOCKS = 64
+# Automata that one reading of the documents goes through; a larger benchmark takes several readings.
+BLOCKS_A_PASS = 8
 
 # Bytes to normalised bytes: a-z, 0-9 and all bytes of other characters stay, A-Z is lowered, the rest is blank.
 _NORMAL = bytes(
@@ -174,8 +176,9 @@ def contamination(
 
     Null and empty texts have no words. Repeated rows are answered alike; an item whose id is null counts for
     hits but is not listed; repeated ids are one item. An empty benchmark hits nothing. Other columns of either
-    table are not read. No row is shuffled. The benchmark goes through the driver in blocks of
-    ``block_chars``, one automaton each; beyond ``MAX_BLOCKS`` of them it is an error, not a partial answer.
+    table are not read. No row is shuffled; a very long text is scanned whole. The benchmark goes through the driver
+    in blocks of ``block_chars``, one automaton each, and never as a whole: after ``BLOCKS_A_PASS`` of them what was
+    found is written and read again, so a benchmark of any size has an answer in as many passes as it needs.
     """
     item_type = dict(benchmark.dtypes)[item_col]
     rows = (
@@ -183,12 +186,6 @@ def contamination(
         for row in benchmark.select(item_col, *item_text_cols).toLocalIterator()
         for text in row[1:]
     )
-    blocks = []
-    for number, block in enumerate(benchmark_blocks(rows, window, block_chars)):
-        if number >= MAX_BLOCKS:
-            raise ValueError(f"the benchmark has more than {MAX_BLOCKS * block_chars} characters of windows")
-        block.number = number
-        blocks.append(block)
     scanned = documents.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
@@ -196,7 +193,10 @@ def contamination(
         F.expr(f"cast(array() as array<{item_type}>)").alias("_items"),
     )
     schema = scanned.schema
-    for block in blocks:
+    for number, block in enumerate(benchmark_blocks(rows, window, block_chars)):
+        if number and number % BLOCKS_A_PASS == 0:
+            scanned = keep(scanned, "scanned")
+        block.number = number
         scanned = scanned.mapInArrow(_scanner(block), schema)
     names = [id_col, "n_words", "n_hit", "items", "spans"]
     return scanned.mapInArrow(

@@ -9,6 +9,7 @@ inside their length, and the number decides sequence and offset.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -24,16 +25,24 @@ from rankmill.sources.scratch import keep
 
 WINDOW = 1024
 END = 0
+# Blanks in one run that the rank file's pattern can take.
+LONG_RUN = 1 << 16
+_LONG_BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class Tokenizer:
     """Byte-level BPE from a file of ranks; the ids equal those of the same vocabulary's JSON file.
 
-    The strings of special tokens in a text give the special ids, as that file's reader does it.
+    The strings of special tokens in a text give the special ids, as that file's reader does it. A text with a run
+    of more than LONG_RUN blanks goes to that reader: the pattern of the rank file tries such a run from every end
+    and has no room for longer ones. Nothing is cut inside a run, as merges reach across.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: Mapping[str, int]):
+    def __init__(self, ranks_path: str, pattern: str, special: Mapping[str, int], json_path: str):
         import tiktoken
+        from tokenizers import Tokenizer as JsonTokenizer
+
+        self._whole = JsonTokenizer.from_file(json_path)
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -43,6 +52,8 @@ class Tokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
+        if len(text) > LONG_RUN and _LONG_BLANKS.search(text):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self._encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
@@ -51,7 +62,10 @@ def public_tokenizer() -> Tokenizer:
     import public_tokenizers
 
     return Tokenizer(
-        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        {"<|endoftext|>": 50256},
+        public_tokenizers.path("byte_bpe_50k.json"),
     )
 
 
@@ -76,7 +90,8 @@ def pieces(
     """Tokenise and cut: (id, start, length, ids_crc32, doc_tokens[, ids]), a row a piece.
 
     A document is its ids, then ``END``; a null or empty text is ``END`` alone, so every row gives a piece.
-    Pieces are whole windows and one remainder. Repeated rows give repeated pieces.
+    Pieces are whole windows and one remainder. Repeated rows give repeated pieces, an empty table none. A very long
+    text is encoded whole, whatever it is made of, and cut to as many pieces as it needs.
     """
     fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
     ddl = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"

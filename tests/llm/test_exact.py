@@ -104,7 +104,8 @@ def test_decontamination_of_the_tables(spark, sf_dir, plain_documents):
 
 
 @pytest.mark.parametrize("block_chars", [1 << 22, 120])
-def test_decontamination_of_odd_rows(spark, odd, block_chars):
+def test_decontamination_of_odd_rows(spark, odd, block_chars, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCKS_A_PASS", 2)
     rows = odd_rows()
     words = rows[12][1].split()
     items = [(1, " ".join(words[3:18])), (2, rows[5][1]), (None, rows[9][1]), (3, None), (4, "..."), (2, rows[5][1])]
@@ -118,6 +119,9 @@ def test_decontamination_of_odd_rows(spark, odd, block_chars):
     kept = decontaminate.clean_rows(odd, benchmark, block_chars=block_chars)
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
+    if block_chars == 120:
+        passes = list(decontaminate.benchmark_blocks(iter(items), block_chars=block_chars))
+        assert len(passes) > decontaminate.BLOCKS_A_PASS
     none = benchmark.where("false")
     assert decontaminate.contamination(odd, none).where("n_hit > 0").isEmpty()
 
@@ -378,6 +382,22 @@ def test_packing_of_odd_rows(spark, odd, empty):
     assert twice.count() == 2 * packing.pieces(odd).count()
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "\xa0", "a", "日", " a"])
+def test_very_long_runs_are_encoded(unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "x" + unit * 1_000_000 + "y z"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.public_tokenizer().ids(text) == b"".join(i.to_bytes(4, "little") for i in want)
+
+
+def test_a_very_long_run_is_packed(spark):
+    rows = [(1, "x" + " " * 800_000 + "y"), (2, "z"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_packed(packing.pack(packing.pieces(frame)).collect(), rows, 1024)
+
+
 def test_fill_is_the_best_there_is():
     import itertools
     import random
