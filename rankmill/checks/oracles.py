@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from rankmill.checks import model
 from rankmill.checks.queries import LAST_DAY, TEST_START, TEST_STOP, TRAIN_START, TRAIN_STOP
 from rankmill.functions.querystring import LIST_PARAMS
 from rankmill.operators.jobs import JOB_COLUMNS
@@ -451,6 +452,18 @@ CTES |= {name: CTES.pop(name) for name in _LATER}
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
 
+def _case(node: dict) -> str:
+    """A tree as nested CASE; a count of 0 is missing."""
+    if "leaf" in node:
+        return f"{node['leaf']}::DOUBLE"
+    below = {child["nodeid"]: _case(child) for child in node["children"]}
+    value = f"nullif({node['split']}, 0)"
+    return (
+        f"CASE WHEN {value} IS NULL THEN {below[node['missing']]} WHEN {value} < {node['split_condition']} "
+        f"THEN {below[node['yes']]} ELSE {below[node['no']]} END"
+    )
+
+
 def _sql(body: str) -> str:
     """Put the needed named parts in front, in their order of definition."""
     needed: set[str] = set()
@@ -663,6 +676,9 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, regexp_replace(lower(t), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS t FROM cleaned_out)""",
         "tokenize": f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest
             FROM (SELECT doc_id, {_tokens("text")} AS t FROM documents)""",
+        "tokenize_signs": r"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest
+            FROM (SELECT doc_id, regexp_extract_all(text, '\p{Han}|\.?[\p{L}\p{N}]+(?:[.&+#-][\p{L}\p{N}]+)*[+#]*') AS t
+                  FROM documents)""",
         "postings": "SELECT field, CAST(job AS BIGINT) AS job, token FROM job_postings",
         "idf_table": "SELECT field, token, df, round(idf, 6) AS idf FROM idfs",
         "text_field_scores": f"""SELECT gid, CAST(pos_in_list AS INTEGER) AS pos_in_list, job, {_rounded(_SCORES)}
@@ -707,6 +723,24 @@ def oracle_sql() -> dict[str, str]:
                   FROM counts c, folds) WHERE role IS NOT NULL GROUP BY ALL""",
         "score_rows": f"""SELECT {_dates("date")}, jobno, viewJob_total, saveJob_total, applyJob_total,
             round(viewJob_total * 0.5 + saveJob_total * 2.0 + applyJob_total * 3.25, 6) AS pred FROM unstacked""",
+        "score_trees": f"SELECT {_dates('date')}, jobno, "
+        + _join(f"nullif({c}, 0) AS {c}" for c in model.FEATURES)
+        + f", round({model.BASE}::DOUBLE + {' + '.join(map(_case, model.TREES))}, 6) AS pred FROM unstacked",
+        "features_per_fold": "SELECT fold, f.jobno, "
+        + _join(f"f.{c}" for c in COUNTS)
+        + f""", CAST(r0 AS VARCHAR) AS date_start, CAST(r1 AS VARCHAR) AS date_stop,
+            CAST(date_diff('day', r0, r1) + 1 AS INTEGER) AS open_days, j.custno_long AS custno,
+            {_join(f"j.{n}" for n in JOB_COLUMNS)}, j.worktime, {_dates("start_date", "stop_date")}, """
+        + _join(f"round({c} / nullif(date_diff('day', r0, r1) + 1, 0), 6) AS {c}_per_day" for c in COUNTS)
+        + """, round(viewJob_total / nullif(saveJob_total, 0), 6) AS view_per_save,
+            round(viewJob_total / nullif(applyJob_total, 0), 6) AS view_per_apply
+            FROM (SELECT g.*, CASE WHEN r.jobno IS NOT NULL THEN greatest(r.date_start, g.start_date) END AS r0,
+                         CASE WHEN r.jobno IS NOT NULL THEN least(r.date_stop, g.stop_date) END AS r1
+                  FROM (SELECT fold, d0 + train_start AS start_date, d0 + train_stop AS stop_date, jobno, """
+        + _join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS)
+        + """ FROM unstacked JOIN folds ON date BETWEEN d0 + train_start AND d0 + train_stop
+                        GROUP BY ALL) g LEFT JOIN job_ranges r ON r.jobno = g.jobno) f
+            LEFT JOIN job_rows j ON j.jobno = f.jobno""",
         "udf_surface": f"""SELECT gid, round({_ndcg("rel_list", "5")}, 6) AS ndcg_5, CAST(len(tokens) AS INTEGER)
             AS n_tokens FROM rel_lists JOIN clicked USING (gid)""",
     }

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from rankmill.checks import adapters as raw
+from rankmill.checks import model
 from rankmill.functions import metrics, querystring, scalars, text
-from rankmill.operators import actions, clicks, folds, jobs, ranking, scoring, textscore
+from rankmill.operators import actions, clicks, folds, jobs, ranking, scoring, textscore, trees
 from rankmill.plans import dataset as ds
 from rankmill.plans import export, training
-from rankmill.plans.features import date_window, features
+from rankmill.plans.features import date_window, features, features_per_window
 from rankmill.sources import catalog
 from rankmill.sources.scratch import keep, scratch_path
 from rankmill.sources.stages import days
@@ -613,6 +614,14 @@ def tokenize(spark, d):
     )
 
 
+@query
+def tokenize_signs(spark, d):
+    tokens = text.tokenize(F.col("text"), signs=True)
+    return raw.table(spark, d, "documents").select(
+        "doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("digest")
+    )
+
+
 @query
 def postings(spark, d):
     return textscore.postings(textscore.field_tokens(_jobs(spark, d)))
@@ -791,6 +800,23 @@ def score_rows(spark, d):
     return _flat(scoring.score_rows(frame, columns, linear_scorer([0.5, 2.0, 3.25])))
 
 
+@query
+def score_trees(spark, d):
+    """A tree ensemble over counts, where no action counts as missing."""
+    present = {name: F.nullif(F.col(name), F.lit(0)) for name in model.FEATURES}
+    frame = _unstacked(spark, d).select("date", "jobno", *model.FEATURES).withColumns(present)
+    return _flat(trees.score_trees(frame, trees.from_dump(model.TREES, model.FEATURES, model.BASE)))
+
+
+@query
+def features_per_fold(spark, d):
+    """Features of the training window of every fold."""
+    windows = _folds(spark, d).select(
+        "fold", F.col("train_start_date").alias("start_date"), F.col("train_stop_date").alias("stop_date")
+    )
+    return _flat(features_per_window(_unstacked(spark, d), _ranges(spark, d), _jobs(spark, d), windows))
+
+
 @query
 def udf_surface(spark, d):
     """Builders called by column name, as registered functions would be."""

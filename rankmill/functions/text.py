@@ -25,6 +25,8 @@ _HAS_LONG_STRETCH = rf"(?U)(?:^|\s)\S{{{_LONG + 1}}}"
 _DISTANCES = 8
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 _TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+# Words keep signs between their letters, a dot before them and plus or number signs after: .NET, C++, F&B.
+_SIGNED = r"\p{IsHan}|\.?[\p{L}\p{N}&&[^\p{IsHan}]]+(?:[.&+#-][\p{L}\p{N}&&[^\p{IsHan}]]+)*[+#]*"
 _TOKEN_RUN = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
 
@@ -119,16 +121,22 @@ def _with_bigrams(run: Column) -> Column:
 
 
 @named
-def tokenize(text: Column, char_map: Mapping[str, str] | None = None, han_bigrams: bool = False) -> Column:
+def tokenize(
+    text: Column, char_map: Mapping[str, str] | None = None, han_bigrams: bool = False, signs: bool = False
+) -> Column:
     """Tokens in text order, duplicates kept: words, and single Han characters.
 
     ``char_map`` replaces characters first (for instance traditional to simplified forms);
-    ``han_bigrams`` also emits each pair of neighbouring Han characters, as a search index would.
+    ``han_bigrams`` also emits each pair of neighbouring Han characters, as a search index would. With ``signs`` a
+    word keeps the signs that are part of names (``C++``, ``C#``, ``.NET``, ``F&B``, ``full-time``); the two exclude
+    each other.
     """
+    if signs and han_bigrams:
+        raise ValueError("signs and han_bigrams exclude each other")
     if char_map:
         text = F.translate(text, "".join(char_map), "".join(char_map.values()))
     if not han_bigrams:
-        return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+        return F.regexp_extract_all(text, F.lit(_SIGNED if signs else _TOKEN), F.lit(0))
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN_RUN), F.lit(0)), _with_bigrams))
 
 

@@ -54,6 +54,8 @@ def test_tokens(spark):
     assert pairs == ["ab", "漢", "字", "語", "漢字", "字語", "c"]
     assert one(spark, "軟體", lambda c: text.tokenize(c, {"軟": "软", "體": "体"})) == ["软", "体"]
     assert one(spark, None, text.tokenize) is None
+    signed = one(spark, "C++ and C#, .NET or F&B (full-time). x_y 漢字+1 a.b.c... #tag +", lambda c: text.tokenize(c, signs=True))
+    assert signed == ["C++", "and", "C#", ".NET", "or", "F&B", "full-time", "x", "y", "漢", "字", "1", "a.b.c", "tag"]
     assert tuple(one(spark, " Ａb  ", text.tokenize_to_struct)) == (" Ａb  ", ["ab"])
     assert tuple(one(spark, None, text.tokenize_to_struct)) == (None, None)
 
