@@ -75,7 +75,6 @@ def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         sha256_hex(F.array_join(ids, ",")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "spans",
     )
 
 
@@ -126,7 +125,14 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     cleaned = substring.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("text")).alias("kept_sha256"), "spans")
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return cleaned.select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        sha256_hex(F.col("text")).alias("kept_sha256"),
+        F.array_join(spans, ",").alias("spans"),
+    )
 
 
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +188,9 @@ def all_queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": sql.LINE_DEDUP,
+        "op4_decontaminate": sql.DECONTAMINATE,
+        "op6_ngram_jaccard": sql.NGRAM_JACCARD,
+        "op9_substring_dedup": sql.SUBSTRING_DEDUP,
         "op12_importance_resample": sql.importance_resample(),
         "op13_merkle_manifest": sql.merkle_manifest(),
     }

@@ -24,6 +24,84 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATE = f"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS piece
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), hits AS (
+  SELECT n, i, size, item_id
+  FROM (SELECT n, i, s.size, array_to_string(w[i:i + s.size - 1], ' ') AS piece
+        FROM (SELECT n, w, unnest(range(1, len(w) + 1)) AS i FROM doc_words), (SELECT DISTINCT size FROM item_windows) s
+        WHERE i + s.size - 1 <= len(w))
+  JOIN item_windows USING (size, piece)
+), covered AS (
+  SELECT n, count(DISTINCT place) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS place FROM hits) GROUP BY n
+), named AS (
+  SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM hits GROUP BY n
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (n) LEFT JOIN named USING (n)
+"""
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS i FROM doc_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * common >= 90 * (s.size + t.size - common)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT x AS doc_id, y AS other FROM edges
+  UNION
+  SELECT r.doc_id, e.y FROM reached r JOIN edges e ON e.x = r.other
+)
+SELECT d.doc_id, coalesce(size, 0) AS n_shingles, least(d.doc_id, coalesce(first, d.doc_id)) AS component_id
+FROM doc_words d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(other) AS first FROM reached GROUP BY doc_id) r ON r.doc_id = d.doc_id
+"""
+
+SUBSTRING_DEDUP = """
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS piece
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc_words WHERE len(w) >= 13)
+), repeats AS (
+  SELECT doc_id, i FROM windows JOIN (SELECT piece, min(doc_id) AS first FROM windows GROUP BY piece) USING (piece)
+  WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM repeats
+), runs AS (
+  SELECT doc_id, min(place) - 1 AS a, max(place) AS b
+  FROM (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM gone) GROUP BY doc_id, run
+), removed AS (
+  SELECT doc_id, count(*) AS n_removed, list(place) AS cut FROM gone GROUP BY doc_id
+), spans AS (
+  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM runs GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS spans,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(cut, []), i)), ' ')) AS kept_sha256
+FROM doc_words LEFT JOIN removed USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
 # CRC-32 of a text's bytes, by the reflected polynomial 0xEDB88320.
 _CRC_TABLE = """
   SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)

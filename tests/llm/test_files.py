@@ -11,8 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankmill.llm import manifest, queries, resample, sql, tokenfiles, words
-from tests.compare import connect, difference
+from rankmill.llm import manifest, queries, resample, tokenfiles, words
 
 from .conftest import WORDS, odd_rows
 
@@ -370,13 +369,3 @@ def test_folding_resumes_midstates():
         state = tree.states[0][1][arity - 1].copy()
         state.update(nodes[2 * arity - 1].encode())
         assert state.hexdigest() == tree.levels[1][1]
-
-
-@pytest.mark.parametrize("name", ["op12_importance_resample", "op13_merkle_manifest"])
-def test_queries_equal_sql(spark, sf_dir, name):
-    found = queries.all_queries()[name](spark, sf_dir)
-    assert difference(found, connect(sf_dir), queries.oracle_sql()[name]) is None
-
-
-def test_sql_of_line_dedup_is_registered():
-    assert queries.oracle_sql()["op2_line_dedup"] is sql.LINE_DEDUP
