@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 
 from rankmill.checks.queries import all_queries
 
-QUERIES = ("features", "dataset", "text_field_scores", "ctr", "ndcg_prediction")
+# ``text_index`` builds the stored index that ``dataset`` and ``text_field_scores`` read once it is there.
+QUERIES = ("features", "text_index", "dataset", "text_field_scores", "ctr", "ndcg_prediction")
 
 
 def main() -> None:

@@ -316,8 +316,12 @@ CTES: dict[str, str] = {
         TRAIN_START,
         TRAIN_STOP,
     ),
-    "valid_labels": f"""
-      SELECT * FROM labels_scored WHERE date BETWEEN DATE '{TEST_START}' AND DATE '{TEST_STOP}'""",
+    "valid_set": _dataset_select(
+        "labels_scored",
+        f"WHERE l.date BETWEEN DATE '{TEST_START}' AND DATE '{TEST_STOP}'",
+        TEST_START,
+        TEST_STOP,
+    ),
     "test_labels": "SELECT t.* EXCLUDE (gid), t.k AS gid, 0 AS rel, "
     + _join(f"coalesce(m.text_{f}, 0.0) AS text_{f}" for f in FIELDS)
     + """ FROM (SELECT * EXCLUDE (pos), pos - 1 AS pos_in_list FROM
@@ -446,7 +450,7 @@ CTES |= _repeat_ctes("cleaned", _one_line("text"))
 CTES |= _repeat_ctes("field", _one_line("doc_id"), "company_texts")
 
 # Parts come before those that name them.
-_LATER = ("texts", "job_postings", "idfs", "query_tokens", "matches", "labels_scored", "train_set", "valid_labels", "test_labels", "test_set")
+_LATER = ("texts", "job_postings", "idfs", "query_tokens", "matches", "labels_scored", "train_set", "valid_set", "test_labels", "test_set")
 CTES |= {name: CTES.pop(name) for name in _LATER}
 
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
@@ -528,10 +532,6 @@ _LINE = (
     + ")"
 )
 _NNZ = " + ".join(f"CASE WHEN {_number(n)} <> 0 THEN 1 ELSE 0 END" for n in _EXPORTED)
-_EXPORT_SUMMARY = (
-    "SELECT '{0}' AS name, count(*) AS n_rows, count(DISTINCT gid) AS n_groups, count(*) AS grouped_rows FROM {1}"
-)
-
 
 def oracle_sql() -> dict[str, str]:
     bodies = {
@@ -561,9 +561,11 @@ def oracle_sql() -> dict[str, str]:
         "group_lengths": "SELECT gid, count(*) AS length FROM exploded GROUP BY gid",
         "read_libsvm": f"SELECT rel AS label, CAST({_NNZ} AS INTEGER) AS nnz FROM train_set",
         "read_group_file": "SELECT CAST(count(*) AS INTEGER) AS length FROM train_set GROUP BY gid",
-        "train_valid_export": _EXPORT_SUMMARY.format("train", "train_set")
-        + " UNION ALL "
-        + _EXPORT_SUMMARY.format("valid", "valid_labels"),
+        "train_valid_export": " UNION ALL ".join(
+            f"SELECT '{n}' AS name, {_LINE} || ' # gid:' || gid || ' job:' || job AS value FROM {n}_set"
+            for n in ("train", "valid")
+        ),
+        "export_alignment": "SELECT gid, count(*) AS n_rows, count(*) AS length, 1 AS n_groups FROM exploded GROUP BY gid",
         "job_processed": "SELECT * EXCLUDE (custno_long), "
         + _join(f"array_to_string({_tokens(_cleaned(n))}, ' ') AS {n}_token" for n in ("description", "job", "others"))
         + " FROM job_rows",
@@ -681,6 +683,9 @@ def oracle_sql() -> dict[str, str]:
                   FROM documents)""",
         "postings": "SELECT field, CAST(job AS BIGINT) AS job, token FROM job_postings",
         "idf_table": "SELECT field, token, df, round(idf, 6) AS idf FROM idfs",
+        "text_index": """SELECT CAST(job AS BIGINT) AS job, CAST(count(*) AS INTEGER) AS n_entries,
+            CAST(count(DISTINCT token) AS INTEGER) AS n_tokens, round(sum(idf), 4) AS weight
+            FROM job_postings JOIN idfs USING (field, token) GROUP BY job""",
         "text_field_scores": f"""SELECT gid, CAST(pos_in_list AS INTEGER) AS pos_in_list, job, {_rounded(_SCORES)}
             FROM test_labels""",
         "qs_parse_map": """SELECT page_id, kv.k AS k, kv.v AS v FROM (

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -89,11 +89,23 @@ def _docs(spark, d):
     return jobs.job_company(_jobs(spark, d), _companies(spark, d))
 
 
-def _index(spark, d):
+def _built_index(spark, d):
     tokens = keep(textscore.field_tokens(_docs(spark, d)), "field-tokens")
     return _stored(textscore.weighted_index(tokens), catalog.TEXT_INDEX)
 
 
+# The stored text index of this application, by the folder of its tables.
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _index(spark, d):
+    """The index is a table that is built once and stored; every query that scores texts reads it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = _built_index(spark, d)
+    return _INDEXES[key]
+
+
 def _testset_rows(spark, d):
     return keep(clicks.testset_processed(raw.testset_log(spark, d)), "testset-processed")
 
@@ -260,12 +272,15 @@ def incremental_days(spark, d):
     return _flat(counted.join(made, "date"))
 
 
-def _export_frame(spark, d):
-    """Training rows with the exported numbers rounded, so that their text is short."""
-    frame = _dataset(spark, d)
+def _rounded(frame):
+    """Exported numbers rounded, so that their text is short."""
     names = ds.feature_columns(frame)
-    rounded = {n: F.round(n, 6) for n, t in frame.dtypes if n in names and t == "double"}
-    return frame.withColumns(rounded), names
+    return frame.withColumns({n: F.round(n, 6) for n, t in frame.dtypes if n in names and t == "double"})
+
+
+def _export_frame(spark, d):
+    frame = _rounded(_dataset(spark, d))
+    return frame, ds.feature_columns(frame)
 
 
 @query
@@ -304,13 +319,39 @@ def read_group_file(spark, d):
 
 @query
 def train_valid_export(spark, d):
-    frame, names = _export_frame(spark, d)
-    sets = {
-        "train": _stored(frame, catalog.DATASET),
-        "valid": _stored(_dataset(spark, d, TEST_START, TEST_STOP), catalog.DATASET),
-    }
-    paths = export.train_valid_export(sets, scratch_path(spark, "export"), names)
-    return export.export_summary(spark, paths)
+    """The lines of both sets, exported from stages that are built once for the two."""
+    store = _store(spark, d)
+    train = training.dataset_key(TRAIN_START, TRAIN_STOP)
+    valid = training.dataset_key(TEST_START, TEST_STOP, TRAIN_START, TRAIN_STOP)
+    paths = training.export_sets(store, scratch_path(spark, "export"), train, valid, prepare=_rounded, with_tag=True)
+    sets = [spark.read.text(f"{path}/rows").withColumn("name", F.lit(path.rsplit("/", 1)[-1])) for path in paths]
+    return sets[0].unionByName(sets[1])
+
+
+@query
+def export_alignment(spark, d):
+    """Rows and lengths of an export in parts put together by position: every group meets its own length."""
+    labels = ds.label_columns(_exploded(spark, d).withColumn("text_score", _no_scores()))
+    path = scratch_path(spark, "aligned")
+    export.write_aligned(_stored(labels, catalog.LABELS), path, 7, ["rel", "order"], with_tag=True)
+    upto = Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = export.read_parts(spark, f"{path}/query").select(
+        "part", F.col("line").alias("group"), F.col("value").cast("bigint").alias("length"), F.sum(F.col("value").cast("bigint")).over(upto).alias("stop")
+    )
+    # A group's length stands at its first row; rows go on until the next one.
+    starts = lengths.select("part", (F.col("stop") - F.col("length")).alias("line"), "group", "length")
+    rows = export.read_parts(spark, f"{path}/rows").join(starts, ["part", "line"], "left")
+    filled = rows.withColumns({c: F.last(c, True).over(upto) for c in ("group", "length")})
+    gid = F.regexp_extract("value", "# gid:([0-9a-f]+)", 1)
+    return filled.groupBy(gid.alias("gid")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max("length").alias("length"),
+        F.count_distinct("part", "group").alias("n_groups"),
+    )
+
+
+def _no_scores():
+    return F.struct(*(F.lit(0.0).alias(c) for c in textscore.SCORE_COLUMNS))
 
 
 # --- projections and filters -------------------------------------------------------------------------
@@ -632,6 +673,19 @@ def idf_table(spark, d):
     return _flat(textscore.idf_table(keep(textscore.field_tokens(_jobs(spark, d)))))
 
 
+@query
+def text_index(spark, d):
+    """The weighted index, built anew: entries, tokens and weights of every job."""
+    entries = F.flatten(F.map_values("slots"))
+    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["idf"])
+    return _built_index(spark, d).select(
+        F.col("job"),
+        F.size(entries).alias("n_entries"),
+        F.size(F.array_distinct(F.transform(entries, lambda e: e["token"]))).alias("n_tokens"),
+        F.round(total, 4).alias("weight"),
+    )
+
+
 def _scored_lists(spark, d):
     return textscore.text_field_scores(_testset_rows(spark, d), _index(spark, d))
 

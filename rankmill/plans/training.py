@@ -148,11 +148,21 @@ def dataset_key(start: str, stop: str, features_start: str | None = None, featur
 
 
 def export_sets(
-    store: Store, path: str, train: Key, valid: Key | None = None, columns: Sequence[str] | None = None, **options
+    store: Store,
+    path: str,
+    train: Key,
+    valid: Key | None = None,
+    columns: Sequence[str] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    **options,
 ) -> list[str]:
-    """Build what is missing of one or two data sets and export them; without ``valid`` the model is the final one."""
+    """Build what is missing of one or two data sets and export them; without ``valid`` the model is the final one.
+
+    Both sets share the stored index, and the features too if their feature windows are the same. ``prepare`` is
+    applied to the stored rows before they are written as text.
+    """
     wanted = [train] if valid is None else [train, valid]
     store.ensure("dataset", wanted)
-    sets = dict(zip(("train", "valid"), (store.stored("dataset", [key]) for key in wanted), strict=False))
+    sets = dict(zip(("train", "valid"), (prepare(store.stored("dataset", [key])) for key in wanted), strict=False))
     names = columns or ds.feature_columns(sets["train"])
     return export.train_valid_export(sets, path, names, final_model=valid is None, **options)

@@ -57,5 +57,6 @@ FIELD_TOKENS = TableSpec("field-tokens.pq")
 TEXT_INDEX = TableSpec("text-index.pq", bucket_by=("job",), buckets=64)
 FEATURES = TableSpec("features.pq", partition_by=FEATURE_WINDOW)
 DATASET = TableSpec("fast/dataset.pq", partition_by=DATASET_WINDOW)
+LABELS = TableSpec("labels.pq")
 TESTSET = TableSpec("testset.pq", partition_by=DATASET_WINDOW)
 KEYWORD_IMPRESSIONS = TableSpec("train-impression.jsonl", "json")
