@@ -193,14 +193,19 @@ def contamination(
         F.expr(f"cast(array() as array<{item_type}>)").alias("_items"),
     )
     schema = scanned.schema
+    report = _reporter([id_col, "n_words", "n_hit", "items", "spans"])
+    last = None
     for number, block in enumerate(benchmark_blocks(rows, window, block_chars)):
+        if last is not None:
+            scanned = scanned.mapInArrow(_scanner(last), schema)
         if number and number % BLOCKS_A_PASS == 0:
             scanned = keep(scanned, "scanned")
         block.number = number
-        scanned = scanned.mapInArrow(_scanner(block), schema)
-    names = [id_col, "n_words", "n_hit", "items", "spans"]
+        last = block
+    # The last automaton's worker reports, too.
+    scan = (lambda batches: batches) if last is None else _scanner(last)
     return scanned.mapInArrow(
-        _reporter(names),
+        lambda batches: report(scan(batches)),
         with_id(
             documents,
             id_col,

@@ -9,6 +9,7 @@ inside their length, and the number decides sequence and offset.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator, Mapping
@@ -40,9 +41,8 @@ class Tokenizer:
 
     def __init__(self, ranks_path: str, pattern: str, special: Mapping[str, int], json_path: str):
         import tiktoken
-        from tokenizers import Tokenizer as JsonTokenizer
 
-        self._whole = JsonTokenizer.from_file(json_path)
+        self._json_path = json_path
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -50,6 +50,13 @@ class Tokenizer:
             "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special)
         )
 
+    @functools.cached_property
+    def _whole(self):
+        """The JSON file's reader, loaded by the workers that meet such a text."""
+        from tokenizers import Tokenizer as JsonTokenizer
+
+        return JsonTokenizer.from_file(self._json_path)
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         if len(text) > LONG_RUN and _LONG_BLANKS.search(text):

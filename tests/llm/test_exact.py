@@ -205,6 +205,30 @@ def test_cells_of_many_blocks(spark, monkeypatch):
     assert len(set(want.values())) > 1 and got == want
 
 
+def test_every_link_comes_out_of_an_index(odd, monkeypatch):
+    """Pairs that are verified are those that R-trees gave, less what finer counts exclude."""
+    given, verified, links = set(), set(), set()
+
+    def pairs_of(df):
+        return {(r.a, r.b) for r in df.select("a", "b").collect()}
+
+    def watch(name, note):
+        real = getattr(jaccard, name)
+
+        def call(*args):
+            out = real(*args)
+            note(args, out)
+            return out
+
+        monkeypatch.setattr(jaccard, name, call)
+
+    watch("_near", lambda args, out: given.update(pairs_of(out)))
+    watch("_open_pairs", lambda args, out: given.update(pairs_of(out)))
+    watch("_similar", lambda args, out: (verified.update(pairs_of(args[0])), links.update(pairs_of(out))))
+    jaccard.near_duplicates(odd, shingle=3, similarity=(80, 100)).count()
+    assert links and links <= verified <= given
+
+
 def test_similar_rows_without_ids(spark, empty):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (3, "A B C D E"), (None, "alone in here it is"), (9, None)]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
