@@ -58,24 +58,37 @@ from rankmill.operators.ranking import (
     group_lengths,
     grouped_average_precision,
     grouped_ndcg,
+    mean_by_rule,
     mean_list_ndcg,
     mean_metric,
+    metric_set,
     ndcg_score_of_prediction,
     ndcg_score_of_truth,
     rank_rows,
 )
 from rankmill.operators.running import number_rows, running_totals
 from rankmill.operators.scoring import score_rows
-from rankmill.operators.textscore import field_tokens, idf_table, postings, text_field_scores, with_text_scores
+from rankmill.operators.textscore import (
+    field_tokens,
+    idf_table,
+    postings,
+    text_field_scores,
+    weighted_index,
+    with_text_scores,
+)
+from rankmill.operators.trees import Ensemble, from_dump, score_trees
 from rankmill.plans.dataset import click_labels, dataset, feature_columns, split_xy, testset_labels
 from rankmill.plans.export import (
     read_group_file,
     read_libsvm,
     to_libsvm_lines,
     train_valid_export,
+    write_aligned,
     write_libsvm,
 )
-from rankmill.plans.features import date_window, features
+from rankmill.plans.features import date_window, features, features_per_window, running_counts, window_counts
+from rankmill.plans.training import dataset_key, export_sets, training_store
+from rankmill.sources.stages import Stage, Store, days
 from rankmill.sources.tables import TableSpec, read_table, read_through, write_table
 
 __all__ = [
@@ -165,4 +178,20 @@ __all__ = [
     "with_text_scores",
     "write_libsvm",
     "write_table",
+    "Ensemble",
+    "Stage",
+    "Store",
+    "dataset_key",
+    "days",
+    "export_sets",
+    "features_per_window",
+    "from_dump",
+    "mean_by_rule",
+    "metric_set",
+    "running_counts",
+    "score_trees",
+    "training_store",
+    "weighted_index",
+    "window_counts",
+    "write_aligned",
 ]

@@ -63,7 +63,7 @@ def test_text_scores_follow_the_list(spark):
     lists = spark.createDataFrame(
         [("g", [2, 9, 1], ["b", "b", "z"]), ("h", [1], None)], "gid string, joblist array<bigint>, tokens array<string>"
     )
-    rows = textscore.text_field_scores(lists, textscore.field_tokens(docs)).orderBy("gid", "pos_in_list").collect()
+    rows = textscore.text_field_scores(lists, textscore.weighted_index(textscore.field_tokens(docs))).orderBy("gid", "pos_in_list").collect()
     # N = 3 texts, "b" in two of them.
     import math
 
