@@ -97,7 +97,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def _sampled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+def sampled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled texts of each class, those with the smallest hash of the id: (id, label, _key, _text).
 
     Labels are 0 or 1 rows of (id, label); of several labels of one id the smallest counts. The choice is made
@@ -112,12 +112,6 @@ def _sampled(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return texts.groupBy(id_col, "label", "_key").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("_text"))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> list:
-    """The sampled texts as (label, text); only chosen texts reach the driver."""
-    found = _sampled(documents, labels, id_col, text_col, rows)
-    return [(int(r["label"]), r["_text"]) for r in sorted(found.collect(), key=lambda r: (r["_key"], str(r[id_col])))]
-
-
 def _entries(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, value) of a slice: the share of a feature in each kind of n-gram of its text, summed."""
     keys, values = [], []
@@ -190,7 +184,7 @@ def _matrix(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
     Of a sample without both classes only the labels are read.
     """
-    found = _sampled(documents, labels, id_col, text_col, rows).select(
+    found = sampled(documents, labels, id_col, text_col, rows).select(
         F.col("label").cast("int"), "_key", F.col(id_col).cast("string").alias("_id"), "_text"
     )
     counts = found.mapInArrow(_text_counts, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankmill.llm.frames import with_id
-from rankmill.llm.quality import labelled_sample
+from rankmill.llm.quality import sampled
 from rankmill.llm.words import Texts, Words, slices, words
 
 BITS = 18
-# Labelled rows of each class that the model is fitted on.
+# Labelled rows of each class that the model is fitted on: whole texts, cut to sentences and hashed inside tasks.
 SAMPLE = 3000
 # A word in fewer sampled documents has no weight.
 MIN_DOCUMENTS = 3
@@ -69,21 +69,31 @@ def noisy_or(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def train(cut: Sentences, y: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.1, sparse: float = 2e-4) -> Model:
+@dataclass
+class Sample:
+    """Labels of the sampled texts, the text of each sentence, and the distinct (sentence, feature) pairs."""
+
+    y: np.ndarray
+    text: np.ndarray
+    sentence: np.ndarray
+    feature: np.ndarray
+
+
+def train(sample: Sample, weight: np.ndarray, steps: int = 300, rate: float = 0.1, sparse: float = 2e-4) -> Model:
     """Ascend the likelihood of document labels under the noisy-or, by Adam with shrinkage towards zero."""
-    size, n = 1 << BITS, len(y)
-    documents = np.unique(cut.text[cut.sentence] << BITS | cut.feature)
+    size, y, text = 1 << BITS, sample.y, sample.text
+    documents = np.unique(text[sample.sentence] << BITS | sample.feature)
     usable = np.bincount(documents & (size - 1), minlength=size) >= MIN_DOCUMENTS
-    keep = usable[cut.feature]
-    row, feature = cut.sentence[keep], cut.feature[keep]
+    keep = usable[sample.feature]
+    row, feature = sample.sentence[keep], sample.feature[keep]
     w, bias = np.zeros(size), -5.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[feature], len(cut.first)) + bias, -30, 30)))
-        whole = noisy_or(p, cut.text, n)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[feature], len(text)) + bias, -30, 30)))
+        whole = noisy_or(p, text, len(y))
         # Of log likelihood to a sentence's logit: p (1 - P) / P in a toxic document, -p in a clean one.
         pull = np.where(y == 1, (1 - whole) / np.maximum(whole, 1e-9), -1.0) * weight
-        error = -p * pull[cut.text]
+        error = -p * pull[text]
         g, gb = np.bincount(feature, error[row], size), error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -94,26 +104,52 @@ def train(cut: Sentences, y: np.ndarray, weight: np.ndarray, steps: int = 300, r
     return Model(w, bias)
 
 
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the features of all their sentences, and how many of them each sentence has."""
+    for batch in batches:
+        for part in slices(batch.column(3)):
+            cut = sentences(part, words(part, lower=True, other=_BETWEEN))
+            sizes = np.bincount(cut.sentence, minlength=len(cut.first))
+            bounds = np.arange(part.count + 1)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(of, bounds).astype(np.int32)), pa.array(x.astype(np.int32)))
+                for of, x in ((cut.text, sizes), (cut.text[cut.sentence], cut.feature))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(part.first, part.count) for i in range(3)), *lists],
+                names=["label", "_key", "_id", "sizes", "features"],
+            )
+
+
+def sample_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> Sample:
+    """The sampled texts in the order of their keys; no text reaches the driver, only numbers."""
+    found = sampled(documents, labels, id_col, text_col, rows).select(
+        F.col("label").cast("int"), "_key", F.col(id_col).cast("string").alias("_id"), "_text"
+    )
+    table = found.mapInArrow(
+        _sentence_rows, "label int, _key bigint, _id string, sizes array<int>, features array<int>"
+    ).toArrow()
+    table = table.sort_by([("_key", "ascending"), ("_id", "ascending")])
+    sizes, features = (table.column(name).combine_chunks() for name in ("sizes", "features"))
+    text = np.repeat(np.arange(len(table)), sizes.value_lengths().to_numpy())
+    sentence = np.repeat(np.arange(len(text)), sizes.flatten().to_numpy())
+    return Sample(table.column("label").to_numpy().astype(float), text, sentence, features.flatten().to_numpy().astype(np.int64))
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Model:
     """Fit on at most ``rows`` labelled texts of each class; labels are (id, label), 1 for toxic.
 
     The classes are weighted back to their shares among all labels. Without labels of both classes no sentence is
-    toxic, or each one is.
+    toxic, or each one is. Null and empty texts have no sentence; texts of any length are hashed inside tasks.
     """
     shares = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = labelled_sample(documents, labels, id_col, text_col, rows)
-    y = np.array([label for label, _ in sample], float)
+    sample = sample_rows(documents, labels, id_col, text_col, rows)
+    y = sample.y
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS), 30.0 if y.any() else -30.0)
-    parts, n_texts, n_rows = [], 0, 0
-    for part in slices(pa.array([text for _, text in sample], pa.string())):
-        cut = sentences(part, words(part, lower=True, other=_BETWEEN))
-        parts.append((cut.first, cut.last, cut.text + n_texts, cut.sentence + n_rows, cut.feature))
-        n_texts, n_rows = n_texts + part.count, n_rows + len(cut.first)
-    cut = Sentences(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     share = shares[1] / (shares[0] + shares[1])
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
-    return train(cut, y, weight)
+    return train(sample, weight)
 
 
 def score(

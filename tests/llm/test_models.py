@@ -1,6 +1,7 @@
 """Operators that learn: held-out accuracy, exact arithmetic on small cases, and every odd row gets an answer."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from rankmill.llm import lmscore, quality, queries, toxicity
-from rankmill.llm.words import slices, words
+from rankmill.llm.words import WHITE, mix, slices, words
 from tests.llm.conftest import odd_rows
 
 LARGER = "/root/testdata/sf0.01"
@@ -55,6 +56,108 @@ def test_toxic_sentences_are_located(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, frame.select("doc_id", "label").limit(0))).count() == 0
 
 
+def feature_of(piece, k, other=WHITE):
+    """Hashed feature of k words, by the bytes of these words alone."""
+    (part,) = slices(pa.array([piece]))
+    found = words(part, other=other)
+    assert len(found.starts) == k
+    value = found.hashes[0] if other is not WHITE else found.window_hashes(k, np.array([0]))[0]
+    return int(value) >> 64 - quality.BITS
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+
+def plain_sentences(text, known={}):  # noqa: B006
+    """Sets of features of the sentences that have a word."""
+    for sentence in re.split(r"[.!?\n]", low(text)):
+        found = set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", sentence))
+        for word in found - set(known):
+            known[word] = feature_of(word, 1, toxicity._BETWEEN)
+        if found:
+            yield {known[word] for word in found}
+
+
+def plain_noisy_or(model, text):
+    clean = 1.0
+    for features in plain_sentences(text):
+        clean *= 1 - 1 / (1 + math.exp(-(sum(model.weights[f] for f in sorted(features)) + model.bias)))
+    return 1 - clean
+
+
+def test_toxicity_scores_match_plain_sentences(spark, odd, plain_documents, sf_dir):
+    """Every score is one minus the product over plain sentences, also for texts of many slices."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "toxic as label")
+    model = toxicity.fit(documents, rows)
+    assert model.weights.any()
+    got = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
+    assert got == pytest.approx({i: plain_noisy_or(model, t) for i, t in plain_documents}, abs=1e-9)
+    long = " ".join(t or "" for _, t in plain_documents[:60] * 5)
+    assert len(long.encode()) > 256 << 10
+    texts = [*odd_rows(), (-1, long), (-2, "No stop " * 40_000)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert got == pytest.approx({i: plain_noisy_or(model, t) for i, t in texts}, abs=1e-9)
+
+
+def test_toxicity_sample_reaches_the_driver_as_numbers(spark, empty):
+    """Texts of 100 KB and of 1 MB are fitted on whole; features are those of plain sentences."""
+    rng = np.random.default_rng(4)
+    phrase = lambda n: " ".join(f"w{k}" for k in rng.integers(500, size=n))
+    texts = [None, "", ". ! ?", *(". ".join(phrase(9) for _ in range(n)) for n in (1, 3, 3000, 30_000))]
+    rows = [(i, text, i % 2) for i, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows + rows[3:4], "doc_id bigint, text string, label int")
+    sample = toxicity.sample_rows(frame, frame.select("doc_id", "label"), "doc_id", "text", 10)
+    chosen = quality.sampled(frame, frame.select("doc_id", "label"), "doc_id", "text", 10).collect()
+    ordered = sorted(chosen, key=lambda r: (r._key, str(r.doc_id)))
+    assert list(sample.y) == [r.label for r in ordered] and len(ordered) == len(texts)
+    plain = [(k, features) for k, r in enumerate(ordered) for features in plain_sentences(r._text)]
+    assert list(sample.text) == [k for k, _ in plain]
+    sets = [set() for _ in plain]
+    for k, feature in zip(sample.sentence.tolist(), sample.feature.tolist(), strict=True):
+        assert feature not in sets[k]
+        sets[k].add(feature)
+    assert sets == [features for _, features in plain]
+    none = toxicity.sample_rows(empty, frame.select("doc_id", "label").limit(0), "doc_id", "text", 10)
+    assert [len(x) for x in (none.y, none.text, none.sentence, none.feature)] == [0] * 4
+
+
+def plain_quality(model, text, known):
+    """Probability from plain word 1- and 2-grams and byte 3- and 4-grams."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+    data = low(text).encode()
+    margin = model.bias
+    for k in (1, 2):
+        pieces = [" ".join(found[i : i + k]) for i in range(len(found) - k + 1)]
+        for piece in set(pieces) - set(known):
+            known[piece] = feature_of(piece, k)
+        margin += sum(model.weights[known[p]] for p in pieces) / max(1, len(pieces))
+    for k in (3, 4):
+        codes = [int.from_bytes(data[i : i + k], "big") + k for i in range(len(data) - k + 1)]
+        for code in set(codes) - set(known):
+            known[code] = int(mix(np.array([code], np.uint64))[0]) >> 64 - quality.BITS
+        margin += sum(model.weights[known[c]] for c in codes) / max(1, len(codes))
+    return 1 / (1 + math.exp(-(model.slope * margin + model.offset)))
+
+
+def test_quality_verdicts_match_plain_ngrams(spark, plain_documents, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "quality as label")
+    model = quality.fit(documents, rows)
+    long = " ".join(t or "" for _, t in plain_documents[:60] * 5)
+    assert len(long.encode()) > 256 << 10
+    texts = [*plain_documents, *((-1 - i, t) for i, t in odd_rows()), (-1000, long)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got, known = {r.doc_id: r for r in quality.apply_rules(frame, model).collect()}, {}
+    assert len(got) == len(texts)
+    for i, text in texts:
+        good = plain_quality(model, text, known)
+        assert got[i].quality == pytest.approx(good, abs=1e-9)
+        assert got[i].kept == (not got[i].base_failed and good >= 0.5)
+
+
 def test_quality_of_documents_not_fitted_on(spark, labels):
     documents = spark.read.parquet(f"{LARGER}/documents.parquet")
     rows = spark.read.parquet(f"{LARGER}/labels.parquet").selectExpr("doc_id", "quality as label")
@@ -68,14 +171,13 @@ def test_quality_of_documents_not_fitted_on(spark, labels):
     assert all(r.kept != r.base_failed for r in quality.apply_rules(documents, one_class).collect())
 
 
-def test_quality_sample_reaches_the_driver_as_feature_rows(spark, labels, monkeypatch):
+def test_quality_sample_reaches_the_driver_as_feature_rows(spark, labels):
     """1,500 texts a class are fitted on, and no text is collected."""
-    monkeypatch.setattr(quality, "labelled_sample", None)
     assert quality.SAMPLE == 1500
     documents = spark.read.parquet(f"{LARGER}/documents.parquet")
     rows = spark.read.parquet(f"{LARGER}/labels.parquet").selectExpr("doc_id", "quality as label")
     matrix = quality._matrix(documents, rows, "doc_id", "text", 40)
-    chosen = quality._sampled(documents, rows, "doc_id", "text", 40).collect()
+    chosen = quality.sampled(documents, rows, "doc_id", "text", 40).collect()
     texts = [(int(r.label), r._text) for r in sorted(chosen, key=lambda r: (r._key, str(r.doc_id)))]
     assert list(matrix.y) == [label for label, _ in texts] and len(texts) == 80
     w = np.random.default_rng(2).normal(size=1 << quality.BITS)
