@@ -226,8 +226,11 @@ class RTree:
         return found[np.minimum(self.points[found], point).sum(axis=1) >= threshold.need(n + self.size[found])]
 
 
-def _prober(threshold: Threshold):
-    """Pairs of a block pair that are in different components and whose bound is high enough."""
+def _prober(threshold: Threshold, nearest: bool = False):
+    """Pairs of a block pair that are in different components and whose bound is high enough.
+
+    The tree holds the first side; with ``nearest`` a point of the second gets only the one of the highest bound.
+    """
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +242,11 @@ def _prober(threshold: Threshold):
                 ids = np.array([x["id"] for x in left])
                 for x, point in zip(right, points[1], strict=True):
                     found = tree.near(point, threshold)
-                    found = ids[found[(parts[found] != x["part"])]]
+                    found = found[parts[found] != x["part"]]
+                    if nearest and len(found):
+                        bound = np.minimum(tree.points[found], point).sum(axis=1) / (tree.size[found] + point.sum())
+                        found = found[[np.argmax(bound)]]
+                    found = ids[found]
                     a += np.minimum(found, x["id"]).tolist()
                     b += np.maximum(found, x["id"]).tolist()
             pairs = sorted(set(zip(a, b, strict=True)))
@@ -351,10 +358,13 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
+def _open_pairs(
+    members: DataFrame, found: DataFrame, points: DataFrame, threshold: Threshold, nearest: bool = False
+) -> DataFrame:
     """Candidate pairs of cells that the comparison with their smallest id leaves open.
 
-    ``members`` has a cell's entries but that id.
+    ``members`` has a cell's entries but that id. With ``nearest`` not all pairs: in cells of many blocks each id
+    outside the largest component gets its nearest in every block of that component.
     """
     part = found.select(F.col("node").alias("id"), F.col("component").alias("part"))
     known = members.join(part, "id", "left").select("cell", "id", F.coalesce("part", "id").alias("part"))
@@ -370,6 +380,8 @@ def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, thresho
         F.sum("_y").alias("_y"),
     )
     unsettled = cells.where("_parts > 1").groupBy("_n", "_x", "_y").agg(F.min(F.struct("cell", "_major")).alias("_c"))
+    if nearest:
+        unsettled = unsettled.where(F.col("_n") > BLOCK)
     rows = known.join(unsettled.select("_n", "_c.*"), "cell")
     # The largest component of a cell of many blocks is in blocks of its own, which never meet each other.
     rows = rows.select("cell", "id", "part", ((F.col("_n") > BLOCK) & (F.col("part") == F.col("_major"))).alias("_joined"))
@@ -381,7 +393,9 @@ def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, thresho
     left = spans.select("cell", F.col("_block").alias("i"), F.col("_from").alias("_f"), F.col("_to").alias("_t"))
     right = spans.select("cell", F.col("_block").alias("j"), "_from", "_to")
     mixed = F.least("_f", "_from") < F.greatest("_t", "_to")
-    once = (F.col("j") < 0) | (F.col("i") <= F.col("j"))
+    once = F.col("j") < 0
+    if not nearest:
+        once |= F.col("i") <= F.col("j")
     wanted = left.where("i >= 0").join(right, "cell").where(once & mixed).select(
         "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("_block")
     )
@@ -395,7 +409,8 @@ def _open_pairs(members: DataFrame, found: DataFrame, points: DataFrame, thresho
         F.collect_list(F.when(F.col("_block") == F.col("i"), F.col("x"))).alias("left"),
         F.collect_list(F.when(F.col("_block") == F.col("j"), F.col("x"))).alias("right"),
     )
-    return pairs.select("left", "right").mapInArrow(_prober(threshold), "a bigint, b bigint").distinct()
+    sides = ("right", "left") if nearest else ("left", "right")
+    return pairs.select(*sides).mapInArrow(_prober(threshold, nearest), "a bigint, b bigint").distinct()
 
 
 def _sets(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -455,7 +470,14 @@ def near_duplicates(
     if not apart.isEmpty():
         links = links.union(_similar(apart, sets, threshold))
         found = keep(components(links), "components")
-    opened = _open_pairs(members.select("cell", "id"), found, points, threshold)
+    members = members.select("cell", "id")
+    # Most of what a large cell leaves open is settled by one link of each stray with the largest component, so
+    # that a stray and all members of that component need not be paired below.
+    nearest = keep(_open_pairs(members, found, points, threshold, True), "nearest")
+    if not nearest.isEmpty():
+        links = links.union(_similar(nearest, _sets(rows, nearest, shingle), threshold))
+        found = keep(components(links), "components")
+    opened = _open_pairs(members, found, points, threshold)
     opened = keep(_narrowed(opened, rows, shingle, threshold), "open")
     more = _similar(opened, _sets(rows, opened, shingle), threshold)
     whole = components(links.union(more)) if not more.isEmpty() else found
