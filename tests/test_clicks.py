@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from rankmill.functions.querystring import DEFAULT_PARAMS
 from rankmill.operators import clicks, textscore
 
 LOG = "action string, date string, joblist array<string>, jobno string, querystring string, source string, n bigint"
@@ -70,3 +71,24 @@ def test_text_scores_follow_the_list(spark):
     b = math.log(1 + 1.5 / 2.5)
     assert [round(r.text_name, 9) for r in rows] == [round(2 * b, 9), 0.0, round(2 * b, 9), 0.0]
     assert all(r.text_profile == 0.0 for r in rows)
+
+
+def test_query_strings_parsed_per_impression_give_the_same_rows(spark):
+    processed = log(spark, extra=20)
+    more = processed.where("action = 'clickApply'").withColumn("datetime", F.lit(None).cast("timestamp"))
+    processed = processed.unionByName(more).unionByName(more.withColumn("joblist", F.lit(None).cast("array<bigint>")))
+
+    def rows(frame):
+        return sorted(repr(r) for r in frame.collect())
+
+    assert rows(clicks.click_grouped(processed, DEFAULT_PARAMS)) == rows(clicks.click_grouped(processed))
+    for size in (3, 1000):
+        pages = clicks.click_lists(processed, size, DEFAULT_PARAMS)
+        assert rows(pages) == rows(clicks.click_lists(processed, size))
+
+
+def test_clicks_are_moved_once_and_unparsed(spark):
+    plan = clicks.click_grouped(log(spark), DEFAULT_PARAMS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "query_params" in plan and "query_params" not in below
