@@ -90,3 +90,13 @@ def test_folds(spark, length, train_ratio):
     train = round(chunk * train_ratio)
     expected = [(i, i * step, i * step + train - 1, i * step + train, i * step + chunk - 1) for i in range(3)]
     assert [tuple(r) for r in folds.orderBy("fold").collect()] == expected
+
+
+def test_json_is_stored_compressed_and_read_back(spark, tmp_path):
+    spec = TableSpec("rows.json", "json")
+    rows = spark.range(1000).selectExpr("id", "concat('same words in every row ', id) as text")
+    write_table(rows, str(tmp_path), spec)
+    files = list((tmp_path / "rows.json").glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 1000 * 20
+    assert sorted(map(tuple, read_table(spark, str(tmp_path), spec).collect())) == sorted(map(tuple, rows.collect()))
