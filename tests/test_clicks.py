@@ -92,3 +92,8 @@ def test_clicks_are_moved_once_and_unparsed(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     below = plan[plan.index("Exchange hashpartitioning") :]
     assert "query_params" in plan and "query_params" not in below
+
+
+def test_click_lists_parse_after_equal_queries_are_put_together(spark):
+    plan = clicks._with_ids(log(spark), DEFAULT_PARAMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [source" in plan
