@@ -85,6 +85,24 @@ def test_the_index_is_not_shuffled(spark):
         assert "Bucketed: true" in plan
 
 
+def test_blocks_give_the_index_of_one_block_and_move_no_postings(spark):
+    lists, index, shown, tokens = made(spark, 2)
+    odd = [(7, "job", ["w1", None, "twice", "twice"]), (None, "name", ["w1"]), (40, "job", []), (41, "job", [None])]
+    both = keep(tokens.where("job <> 7").unionByName(spark.createDataFrame(odd, tokens.schema)))
+    want = sorted((str(j), f, t) for j, f, held in both.collect() for t in held if t is not None)
+    weight = {(r.field, r.token): r.idf for r in textscore.idf_table(both).collect()}
+    for size in (10**9, 100):
+        rows = textscore.weighted_index(both, block_tokens=size).collect()
+        assert len(rows) == len({j for j, *_ in want})
+        assert sorted((str(r.job), TEXT_FIELDS[f - 1], t) for r in rows for f, t in zip(r.field, r.token)) == want
+        for r in rows:
+            assert r.starts[0] == 0 and r.starts[-1] == len(r.token) == len(r.idf) and r.starts == sorted(r.starts)
+            assert all(math.isclose(w, weight[TEXT_FIELDS[f - 1], t]) for f, t, w in zip(r.field, r.token, r.idf))
+    plan = textscore.weighted_index(both)._jdf.queryExecution().executedPlan().toString().split("\n")
+    exploded = [at for at, line in enumerate(plan) if "Generate explode" in line]
+    assert exploded and all("HashAggregate" in "".join(plan[at - 3 : at]) and "Exchange" not in "".join(plan[at - 3 : at]) for at in exploded)
+
+
 def test_checked_tables_reach_every_score_and_label(spark, sf_dir):
     scores = QUERIES["text_field_scores"](spark, sf_dir).select(*(F.max(c) for c in SCORE_COLUMNS)).first()
     assert all(value > 0 for value in scores)
