@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankmill.functions.scalars import float_text, uuid_to_long
 from rankmill.operators.folds import series_cv
 from rankmill.plans import export
-from rankmill.sources.scratch import scratch_path
+from rankmill.sources.scratch import keep, scratch_path
 from rankmill.sources.tables import TableSpec, read_table, read_through, write_table
 
 SPEC = TableSpec("t.pq", partition_by=("day",))
@@ -100,3 +100,27 @@ def test_json_is_stored_compressed_and_read_back(spark, tmp_path):
     assert files and all(f.name.endswith(".json.gz") for f in files)
     assert sum(f.stat().st_size for f in files) < 1000 * 20
     assert sorted(map(tuple, read_table(spark, str(tmp_path), spec).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_stored_tables_are_written_with_zstd(spark):
+    base = scratch_path(spark, "zstd")
+    write_table(spark.range(9), base, TableSpec("t.pq"))
+    assert all(".zstd." in name for name in read_table(spark, base, TableSpec("t.pq")).inputFiles())
+    assert all(".zstd." in name for name in keep(spark.range(9)).inputFiles())
+
+
+def test_aligned_parts_hold_the_lines_and_give_what_is_asked_of_them(spark):
+    rows = [(f"{g:02x}", at, g % 3, g * 10 + at, float(at), None if g % 2 else 1.5) for g in range(9) for at in range(g % 4 + 1)]
+    frame = keep(spark.createDataFrame(rows, "gid string, pos_in_list int, rel bigint, job bigint, f double, g double"))
+    for options in ({}, {"with_tag": True}, {"features": ["g", "rel"], "with_tag": True, "index_base": 1}):
+        path = scratch_path(spark, "aligned")
+        export.write_aligned(frame, path, 3, **options)
+        found = export.read_parts(spark, f"{path}/rows").orderBy("part", "line").collect()
+        want = [r.value for r in export.to_libsvm_lines(frame, **options).collect()]
+        assert sorted(r.value for r in found) == sorted(want)
+    gid = F.regexp_extract("value", "gid:([0-9a-f]+)", 1)
+    short = export.read_parts(spark, f"{path}/rows", gid).orderBy("part", "line").collect()
+    assert [(r.part, r.line, r.value) for r in short] == [(r.part, r.line, r.value.split("gid:")[1].split(" ")[0]) for r in found]
+    for part in {r.part for r in short}:
+        gids = [r.value for r in short if r.part == part]
+        assert gids == sorted(gids)
