@@ -103,6 +103,19 @@ def test_blocks_give_the_index_of_one_block_and_move_no_postings(spark):
     assert exploded and all("HashAggregate" in "".join(plan[at - 3 : at]) and "Exchange" not in "".join(plan[at - 3 : at]) for at in exploded)
 
 
+def test_the_index_is_written_without_a_shuffle(spark):
+    _, _, _, tokens = made(spark, 3)
+    assert catalog.TEXT_INDEX.gathered
+    index = textscore.weighted_index(tokens, block_tokens=100)
+    bucket = F.pmod(F.hash("job"), F.lit(catalog.TEXT_INDEX.buckets))
+    # A job lies in one row, a block in one task, and a bucket's blocks are a part of it.
+    rows = index.select("job", bucket.alias("bucket"), F.spark_partition_id().alias("task")).collect()
+    assert len({r.job for r in rows}) == len(rows)
+    _, weights = stored(spark, tokens)
+    assert len(weights.inputFiles()) == len({r.bucket for r in rows})
+    assert {r.job for r in weights.select("job").collect()} == {r.job for r in rows}
+
+
 def test_checked_tables_reach_every_score_and_label(spark, sf_dir):
     scores = QUERIES["text_field_scores"](spark, sf_dir).select(*(F.max(c) for c in SCORE_COLUMNS)).first()
     assert all(value > 0 for value in scores)
