@@ -12,6 +12,10 @@ All candidate pairs come from R-trees over points. An id that is the smallest of
 others it meets there; once the links of those pairs are known, cells that they do not settle index their points and
 are queried by each of their members. A pair whose bound is high enough is bounded once more, by counts in as many
 groups as half its shingles, and what remains is verified on the sets.
+
+A cell of more than BLOCK members is divided before its members meet. Its pivot is what most of a few members hold;
+two similar members are either both so close to it that they are similar to the closest one, which queries them all, or
+differ from it in a common shingle. So those that do meet again in a cell of that shingle.
 """
 
 from __future__ import annotations
@@ -32,8 +36,12 @@ GROUPS = 64
 LEAF = 8
 # One spare group for so many differences.
 SPARE = 4
-# Points of a cell in one block; blocks of a larger cell are compared pair by pair.
+# Points of a cell in one block. Larger cells are divided, at most so many times; blocks of what is still larger are
+# compared pair by pair.
 BLOCK = 128
+DIVISIONS = 6
+# Members that a pivot is made of, at most.
+PIVOT_SAMPLE = 15
 
 _U = np.uint64
 
@@ -226,11 +234,8 @@ class RTree:
         return found[np.minimum(self.points[found], point).sum(axis=1) >= threshold.need(n + self.size[found])]
 
 
-def _prober(threshold: Threshold, nearest: bool = False):
-    """Pairs of a block pair that are in different components and whose bound is high enough.
-
-    The tree holds the first side; with ``nearest`` a point of the second gets only the one of the highest bound.
-    """
+def _prober(threshold: Threshold):
+    """Pairs of a block pair that are in different components and whose bound is high enough."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,11 +247,7 @@ def _prober(threshold: Threshold, nearest: bool = False):
                 ids = np.array([x["id"] for x in left])
                 for x, point in zip(right, points[1], strict=True):
                     found = tree.near(point, threshold)
-                    found = found[parts[found] != x["part"]]
-                    if nearest and len(found):
-                        bound = np.minimum(tree.points[found], point).sum(axis=1) / (tree.size[found] + point.sum())
-                        found = found[[np.argmax(bound)]]
-                    found = ids[found]
+                    found = ids[found[parts[found] != x["part"]]]
                     a += np.minimum(found, x["id"]).tolist()
                     b += np.maximum(found, x["id"]).tolist()
             pairs = sorted(set(zip(a, b, strict=True)))
@@ -358,45 +359,86 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
-def _open_pairs(
-    members: DataFrame, found: DataFrame, points: DataFrame, threshold: Threshold, nearest: bool = False
-) -> DataFrame:
-    """Candidate pairs of cells that the comparison with their smallest id leaves open.
+def _with(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
-    ``members`` has a cell's entries but that id. With ``nearest`` not all pairs: in cells of many blocks each id
-    outside the largest component gets its nearest in every block of that component.
-    """
+
+def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell, id, part) of all members, and (cell, _n) of cells of several components; of cells with the same members one."""
     part = found.select(F.col("node").alias("id"), F.col("component").alias("part"))
     known = members.join(part, "id", "left").select("cell", "id", F.coalesce("part", "id").alias("part"))
     known = keep(known.distinct(), "cells")
     xor, total = F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)"))
-    parts = known.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("_n"), xor.alias("_x"), total.alias("_y"))
-    cells = parts.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("_parts"),
-        F.sum("_n").alias("_n"),
-        F.max(F.struct("_n", "part"))["part"].alias("_major"),
-        # Cells with the same members are one.
-        F.bit_xor("_x").alias("_x"),
-        F.sum("_y").alias("_y"),
+    cells = known.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("_n"), xor.alias("_x"), total.alias("_y"), F.min("part").alias("_f"), F.max("part").alias("_t")
     )
-    unsettled = cells.where("_parts > 1").groupBy("_n", "_x", "_y").agg(F.min(F.struct("cell", "_major")).alias("_c"))
-    if nearest:
-        unsettled = unsettled.where(F.col("_n") > BLOCK)
-    rows = known.join(unsettled.select("_n", "_c.*"), "cell")
-    # The largest component of a cell of many blocks is in blocks of its own, which never meet each other.
-    rows = rows.select("cell", "id", "part", ((F.col("_n") > BLOCK) & (F.col("part") == F.col("_major"))).alias("_joined"))
-    ranked = group_rank(rows, ["cell", "_joined"], [F.col("part"), F.col("id")], "_rank")
-    block = F.floor((F.col("_rank") - 1) / BLOCK)
-    placed = keep(ranked.withColumn("_block", F.when(F.col("_joined"), -1 - block).otherwise(block)), "blocks")
+    once = cells.where("_f < _t").groupBy("_n", "_x", "_y").agg(F.min("cell").alias("cell"))
+    return known, keep(once.select("cell", "_n"), "unsettled")
+
+
+def _pivots(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cell, pivot): shingles that more than half of a few members of each cell hold, at most PIVOT_SAMPLE.
+
+    Any pivot gives the same links; this one makes differences rare that members have in common.
+    """
+    few = large.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(PIVOT_SAMPLE)).alias("_deal")).agg(F.min("id").alias("id"))
+    held = few.join(sets, "id").select("cell", F.explode("set").alias("shingle"))
+    counts = held.groupBy("cell", "shingle").agg(F.count(F.lit(1)).alias("_held"))
+    most = counts.join(few.groupBy("cell").agg(F.count(F.lit(1)).alias("_of")), "cell").where("2 * _held > _of")
+    pivots = most.groupBy("cell").agg(F.sort_array(F.collect_list("shingle")).alias("pivot"))
+    nothing = F.array().cast("array<bigint>")
+    cells = large.select("cell").distinct()
+    return cells.join(pivots, "cell", "left").select("cell", F.coalesce("pivot", nothing).alias("pivot"))
+
+
+def _divided(large: DataFrame, rows: DataFrame, shingle: int, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Of (cell, id, part) of large cells: pairs (a, b, shared) to verify, and (cell, id) of the cells that replace them.
+
+    Let d(x) be in how many shingles x differs from its cell's pivot. x and y of n(x) and n(y) shingles are similar when
+    they differ in at most (n(x) + n(y)) * (den - num) / (den + num). With far(x) = (den + num) * d(x) - (den - num) * n(x):
+
+    * If far(x) + far(y) <= 0, they are similar, and so is each with the member of least far.
+    * Else similar ones have a difference from the pivot in common. All but n(x) * (den - num) / num of the differences
+      of x are also differences of y, so in any order of shingles one of the first so many, and one more, is common.
+    """
+    num, den = threshold.num, threshold.den
+    sets = _sets_of(rows, large.select("id").distinct(), shingle)
+    pivots = keep(_pivots(large, sets).withColumn("_pivot", F.xxhash64("pivot")), "pivots")
+    # Cells with the same pivot are one.
+    held = keep(large.join(pivots.select("cell", "_pivot"), "cell").select("_pivot", "id", "part").distinct(), "held")
+    sizes = held.groupBy("_pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    # A pivot meets its members in blocks, so that no task gets all of them.
+    each = pivots.groupBy("_pivot").agg(F.min("pivot").alias("pivot")).join(sizes, "_pivot")
+    each = each.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    dealt = held.join(sizes, "_pivot").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).drop("_blocks")
+    met = dealt.join(sets, "id").join(each, ["_pivot", "_block"])
+    size = F.size("set").cast("bigint")
+    # Shingles that the pivot lacks come first: few members have the same ones.
+    named = (F.transform(F.array_except(*x), lambda x: F.xxhash64("_pivot", x)) for x in (("set", "pivot"), ("pivot", "set")))
+    met = met.withColumn("_other", F.concat(*map(F.sort_array, named)))
+    far = (den + num) * F.size("_other").cast("bigint") - (den - num) * size
+    first = F.slice("_other", F.lit(1), (F.floor(size * (den - num) / num) + 1).cast("int"))
+    met = keep(met.select("_pivot", "_block", "id", "part", far.alias("_far"), first.alias("_first")), "differences")
+    nearest = met.groupBy("_pivot").agg(F.min(F.struct("_far", "id", "part")).alias("_least")).join(sizes, "_pivot")
+    nearest = nearest.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    joined = met.join(nearest.select("_pivot", "_block", "_least"), ["_pivot", "_block"])
+    joined = joined.where("_far + _least._far <= 0 and part <> _least.part")
+    star = joined.select(F.col("_least.id").alias("a"), F.col("id").alias("b"), F.lit(1).cast("bigint").alias("shared"))
+    return keep(star.distinct(), "star"), met.select(F.explode("_first").alias("cell"), "id")
+
+
+def _open_pairs(known: DataFrame, unsettled: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
+    """Candidate pairs of the members of unsettled cells, those of a large one block by block."""
+    rows = known.join(unsettled.select("cell"), "cell")
+    ranked = group_rank(rows, ["cell"], [F.col("part"), F.col("id")], "_rank")
+    placed = keep(ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / BLOCK)), "blocks")
     # Pairs of blocks of a cell, a block with itself too, unless both lie in one component as a whole.
     spans = placed.groupBy("cell", "_block").agg(F.min("part").alias("_from"), F.max("part").alias("_to"))
     left = spans.select("cell", F.col("_block").alias("i"), F.col("_from").alias("_f"), F.col("_to").alias("_t"))
     right = spans.select("cell", F.col("_block").alias("j"), "_from", "_to")
     mixed = F.least("_f", "_from") < F.greatest("_t", "_to")
-    once = F.col("j") < 0
-    if not nearest:
-        once |= F.col("i") <= F.col("j")
-    wanted = left.where("i >= 0").join(right, "cell").where(once & mixed).select(
+    wanted = left.join(right, "cell").where((F.col("i") <= F.col("j")) & mixed).select(
         "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("_block")
     )
     blocks = (
@@ -409,16 +451,20 @@ def _open_pairs(
         F.collect_list(F.when(F.col("_block") == F.col("i"), F.col("x"))).alias("left"),
         F.collect_list(F.when(F.col("_block") == F.col("j"), F.col("x"))).alias("right"),
     )
-    sides = ("right", "left") if nearest else ("left", "right")
-    return pairs.select(*sides).mapInArrow(_prober(threshold, nearest), "a bigint, b bigint").distinct()
+    return pairs.select("left", "right").mapInArrow(_prober(threshold), "a bigint, b bigint").distinct()
 
 
-def _sets(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The sets of the ids in ``pairs``, from their texts."""
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+def _sets_of(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the given ids, from their texts."""
+    wanted = keep(ids, "wanted")
     return keep(rows.join(wanted, "id", "left_semi").mapInArrow(_setter(shingle), "id bigint, set array<bigint>"), "sets")
 
 
+def _sets(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the ids in ``pairs``."""
+    return _sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle)
+
+
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -437,7 +483,7 @@ def near_duplicates(
     is. A row with a null id gets its class's component, null if it has no other row. Other columns are not read.
 
     Every link between classes is found or implied: a pair in one cell is verified, or both sides are known to be
-    in one component, or the bound excludes it. Classes and hubs are reduced by partial aggregates or joins with
+    in one component, or the bound excludes it, or the pair meets in a smaller cell. Classes and hubs are reduced by partial aggregates or joins with
     a side that is unique in the key. A cell is read in order by one task, which keeps one id of it.
     """
     threshold = Threshold(*similarity)
@@ -468,19 +514,22 @@ def near_duplicates(
     found = keep(components(links), "components")
     apart = keep(_apart(pairs.where("_rank > 1").select("a", "b"), found), "apart")
     if not apart.isEmpty():
-        links = links.union(_similar(apart, sets, threshold))
-        found = keep(components(links), "components")
-    members = members.select("cell", "id")
-    # Most of what a large cell leaves open is settled by one link of each stray with the largest component, so
-    # that a stray and all members of that component need not be paired below.
-    nearest = keep(_open_pairs(members, found, points, threshold, True), "nearest")
-    if not nearest.isEmpty():
-        links = links.union(_similar(nearest, _sets(rows, nearest, shingle), threshold))
-        found = keep(components(links), "components")
-    opened = _open_pairs(members, found, points, threshold)
+        found = keep(_with(found, _similar(apart, sets, threshold)), "components")
+    known, unsettled = _unsettled(members.select("cell", "id"), found)
+    for _ in range(DIVISIONS):
+        if unsettled.where(F.col("_n") > BLOCK).isEmpty():
+            break
+        large = keep(known.join(unsettled.where(F.col("_n") > BLOCK).select("cell"), "cell"), "large")
+        star, smaller = _divided(large, rows, shingle, threshold)
+        if not star.isEmpty():
+            near = keep(_narrowed(_near(star, points, threshold), rows, shingle, threshold).select("a", "b"), "pairs")
+            found = keep(_with(found, _similar(near, _sets(rows, near, shingle), threshold)), "components")
+        small = known.join(unsettled.where(F.col("_n") <= BLOCK).select("cell"), "cell").select("cell", "id")
+        known, unsettled = _unsettled(small.union(smaller), found)
+    opened = _open_pairs(known, unsettled, points, threshold)
     opened = keep(_narrowed(opened, rows, shingle, threshold), "open")
     more = _similar(opened, _sets(rows, opened, shingle), threshold)
-    whole = components(links.union(more)) if not more.isEmpty() else found
+    whole = _with(found, more) if not more.isEmpty() else found
     named = digested.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("node"))
     named = named.join(whole, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     own = digested.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")

@@ -205,6 +205,82 @@ def test_cells_of_many_blocks(spark, monkeypatch):
     assert len(set(want.values())) > 1 and got == want
 
 
+def family(rng, size, changes, first=0):
+    """Copies of one text with some words changed, and chains of copies of such copies."""
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(size):
+        copy = list(rows[rng.randrange(len(rows))][1].split()) if rows and rng.random() < 0.4 else list(base)
+        for j in rng.sample(range(90), rng.choice(changes)):
+            copy[j] = f"x{rng.randrange(10**6)}"
+        rows.append((first + i * 7 + 3, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("block,divisions", [(4, 6), (4, 0), (8, 1)])
+def test_divided_cells_keep_every_link(spark, monkeypatch, block, divisions):
+    import random
+
+    rows = family(random.Random(block + divisions), 120, [0, 1, 2, 3, 5])
+    # Two documents with one id, a null and a text of its own.
+    rows += [(3, rows[50][1] + " more"), (5000, None), (5001, "alone"), (10, "")]
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "DIVISIONS", divisions)
+    divided, real = [], jaccard._divided
+    monkeypatch.setattr(jaccard, "_divided", lambda *args: divided.append(1) or real(*args))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, shingle=3, similarity=(90, 100)).collect()}
+    want = linked(rows, 3, 90)
+    assert len(set(want.values())) > 3 and got == want
+    assert bool(divided) == bool(divisions)
+
+
+def linked(rows, k, num):
+    """Components of ids, where rows of one id are one document."""
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = []
+    for i, text in rows:
+        words = re.findall(BLANK, lower(text))
+        sets.append((i, {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}))
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and x and y and 100 * len(x & y) >= num * len(x | y):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in parent}
+
+
+def test_pairs_of_a_cell_grow_with_its_members(spark, monkeypatch):
+    # Far copies of one text: all in the same cells, no two of them similar.
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    given, real = [], jaccard._open_pairs
+
+    def watch(known, unsettled, *rest):
+        given.append(unsettled.agg(F.max("_n"), F.sum("_n")).first())
+        return real(known, unsettled, *rest)
+
+    monkeypatch.setattr(jaccard, "_open_pairs", watch)
+    for size in (60, 240):
+        rows = []
+        for i in range(size):
+            copy = [f"w{i}" for i in range(90)]
+            for j in rng.sample(range(90), 4):
+                copy[j] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(copy)))
+        jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, similarity=(90, 100)).count()
+    (most, few), (most_of_more, more) = (((a or 0), (b or 0)) for a, b in given)
+    assert max(most, most_of_more) <= 8 and more <= 6 * max(few, 60)
+
+
 def test_every_link_comes_out_of_an_index(odd, monkeypatch):
     """Pairs that are verified are those that R-trees gave, less what finer counts exclude."""
     given, verified, links = set(), set(), set()
