@@ -21,8 +21,8 @@ BITS = 18
 # Labelled rows of each class that the classifier is fitted on: whole texts, smallest key first. Texts of any length
 # are hashed inside tasks; a text reaches the driver as at most 2 ** BITS features.
 SAMPLE = 1500
-# Entries of the sample that a step of the fit takes together.
-CHUNK = 1 << 20
+# Entries of the sample that a step of the fit takes together: few, as they lie in the driver several times as doubles.
+CHUNK = 1 << 17
 THRESHOLD = 0.5
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
@@ -200,12 +200,19 @@ def _matrix(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     ).toArrow()
     keys, ids = sample.column("_key").to_pylist(), sample.column("_id").to_pylist()
     order = np.array(sorted(range(len(keys)), key=lambda i: (keys[i], ids[i])))
-    rank = np.empty(len(order), np.int32)
+    rank = np.empty(len(order), np.min_scalar_type(len(order)))
     rank[order] = np.arange(len(order))
+    y = sample.column("label").to_numpy()[order].astype(float)
     features, values = sample.column("features"), sample.column("values")
     sizes = np.concatenate([x.value_lengths().to_numpy() for x in features.chunks])
-    flat = [np.concatenate([x.flatten().to_numpy() for x in c.chunks]) for c in (features, values)]
-    return Matrix(sample.column("label").to_numpy()[order].astype(float), np.repeat(rank, sizes), *flat)
+    del sample
+    # What is copied is given back at once, not when the fit is over.
+    feature = np.concatenate([x.flatten().to_numpy() for x in features.chunks])
+    del features
+    value = np.concatenate([x.flatten().to_numpy() for x in values.chunks])
+    del values
+    pa.default_memory_pool().release_unused()
+    return Matrix(y, np.repeat(rank, sizes), feature, value)
 
 
 def _logistic(matrix: Matrix, weight, steps=200, rate=1.0, decay=1e-6):

@@ -272,3 +272,20 @@ def test_target_ids_and_target_flags_score_alike(spark, odd):
 def test_low_scores_read_like_the_target(spark, labels):
     rows = [r for r in queries.op3_lm_score(spark, LARGER).collect() if r.doc_id in labels]
     assert area([-r.score for r in rows], [labels[r.doc_id].quality for r in rows]) > 0.75
+
+
+def test_a_step_of_the_fit_needs_little_beside_the_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n = 1 << 21
+    row, feature = np.sort(rng.integers(0, 3000, n)).astype(np.uint16), rng.integers(0, 1 << quality.BITS, n).astype(np.int32)
+    matrix = quality.Matrix(np.zeros(3000), row, feature, rng.random(n, np.float32))
+    weights = rng.random(1 << quality.BITS)
+    tracemalloc.start()
+    margin = matrix.times(weights)
+    matrix.gradient(margin)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(margin, np.bincount(row, matrix.value * weights[feature], 3000))
+    assert peak < 12 << 20
