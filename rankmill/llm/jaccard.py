@@ -15,11 +15,15 @@ groups as half its shingles, and what remains is verified on the sets.
 
 A cell of more than BLOCK members is divided before its members meet. Its pivot is what most of a few members hold;
 two similar members are either both so close to it that they are similar to the closest one, which queries them all, or
-differ from it in a common shingle. So those that do meet again in a cell of that shingle.
+differ from it in a common shingle. So those that do meet again in a cell of that shingle. Where the smaller cells
+have many more members to pair than the cell's blocks, the cell stays whole.
+
+Points reach the trees as sorted rows, a group after the other: a task holds a batch of rows and one group.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +44,12 @@ SPARE = 4
 # compared pair by pair.
 BLOCK = 128
 DIVISIONS = 6
+# Cells that replace a large one may give so many times the rows to pair that its blocks give; theirs meet fewer others.
+MORE = 4
 # Members that a pivot is made of, at most.
 PIVOT_SAMPLE = 15
+# Pairs that a task gathers before it passes them on.
+PAIRS = 1 << 16
 
 _U = np.uint64
 
@@ -234,26 +242,56 @@ class RTree:
         return found[np.minimum(self.points[found], point).sum(axis=1) >= threshold.need(n + self.size[found])]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The groups of rows that are equal in the first ``keys`` columns, of rows sorted by those."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(start, end - start)
+        held = batch.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _counts(points: pa.ListArray) -> np.ndarray:
+    return points.flatten().to_numpy().reshape(-1, GROUPS).astype(np.int64)
+
+
 def _prober(threshold: Threshold):
-    """Pairs of a block pair that are in different components and whose bound is high enough."""
+    """Pairs of a block pair that are in different components and whose bound is high enough.
+
+    Rows are (cell, i, j, block, id, part, point), sorted: the points of blocks i and j, once if they are one.
+    """
+
+    def made(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                points = [np.array([x["point"] for x in side], np.int64).reshape(-1, GROUPS) for side in (left, right)]
-                tree = RTree(points[0])
-                parts = np.array([x["part"] for x in left])
-                ids = np.array([x["id"] for x in left])
-                for x, point in zip(right, points[1], strict=True):
-                    found = tree.near(point, threshold)
-                    found = ids[found[parts[found] != x["part"]]]
-                    a += np.minimum(found, x["id"]).tolist()
-                    b += np.maximum(found, x["id"]).tolist()
-            pairs = sorted(set(zip(a, b, strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"]
-            )
+        pairs, many = [], 0
+        for group in _groups(batches, 3):
+            i, j, block, ids, parts = (group.column(k).to_numpy() for k in range(1, 6))
+            points, left, right = _counts(group.column(6)), block == i, block == j
+            if not left.any():
+                continue
+            tree = RTree(points[left])
+            for x, part, point in zip(ids[right], parts[right], points[right], strict=True):
+                found = tree.near(point, threshold)
+                found = ids[left][found[parts[left][found] != part]]
+                if len(found):
+                    pairs.append(np.stack([np.minimum(found, x), np.maximum(found, x)]))
+                    many += len(found)
+            if many >= PAIRS:
+                yield made(pairs)
+                pairs, many = [], 0
+        if pairs:
+            yield made(pairs)
 
     return probe
 
@@ -264,18 +302,25 @@ def _enough(both: Column, total: Column, threshold: Threshold) -> Column:
 
 
 def _star_prober(threshold: Threshold):
-    """Of an id's partners those that the tree of their points finds near its own point."""
+    """Of an id's partners those that the tree of their points finds near its own point.
+
+    Rows are (a, block, partner, b, shared, point), sorted: with the id's own point first, as no partner.
+    """
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for a, point, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree = RTree(np.array([x["point"] for x in others], np.int64))
-                found = tree.near(np.array(point, np.int64), threshold)
-                out += ((a, others[i]["b"], others[i]["shared"]) for i in found.tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["a", "b", "shared"]
-            )
+        for group in _groups(batches, 2):
+            own = int(np.searchsorted(group.column(2).to_numpy(), 1))
+            if not 0 < own < group.num_rows:
+                continue
+            points = _counts(group.column(5))
+            tree = RTree(points[own:])
+            for point in points[:own]:
+                found = tree.near(point, threshold)
+                if len(found):
+                    rows = pa.array(found + own)
+                    yield pa.RecordBatch.from_arrays(
+                        [group.column(k).take(rows) for k in (0, 3, 4)], names=["a", "b", "shared"]
+                    )
 
     return probe
 
@@ -286,12 +331,14 @@ def _near(star: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame
     The partners of a hub are dealt to blocks of about BLOCK by hash, a tree each.
     """
     blocks = star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    partners = points.select(F.col("id").alias("b"), "point")
     dealt = star.join(blocks, "a").withColumn("_block", F.pmod(F.xxhash64("b"), F.col("_blocks")))
-    others = F.collect_list(F.struct("b", "shared", "point")).alias("others")
-    grouped = dealt.join(partners, "b").groupBy("a", "_block").agg(others)
-    own = points.select(F.col("id").alias("a"), "point")
-    rows = grouped.join(own, "a").select("a", "point", "others")
+    partners = points.select(F.col("id").alias("b"), "point")
+    others = dealt.join(partners, "b").select("a", "_block", F.lit(1).alias("_partner"), "b", "shared", "point")
+    each = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
+    own = each.join(points.select(F.col("id").alias("a"), "point"), "a").select(
+        "a", "_block", F.lit(0).alias("_partner"), F.col("a").alias("b"), F.lit(0).cast("bigint").alias("shared"), "point"
+    )
+    rows = others.union(own).repartition("a", "_block").sortWithinPartitions("a", "_block", "_partner")
     return rows.mapInArrow(_star_prober(threshold), "a bigint, b bigint, shared bigint")
 
 
@@ -392,8 +439,17 @@ def _pivots(large: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.join(pivots, "cell", "left").select("cell", F.coalesce("pivot", nothing).alias("pivot"))
 
 
-def _divided(large: DataFrame, rows: DataFrame, shingle: int, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Of (cell, id, part) of large cells: pairs (a, b, shared) to verify, and (cell, id) of the cells that replace them.
+def _to_pair(members: Column) -> Column:
+    """Rows that a cell gives to its pairs of blocks."""
+    return members * F.ceil(members / BLOCK)
+
+
+def _divided(
+    large: DataFrame, rows: DataFrame, shingle: int, threshold: Threshold
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (cell, id, part) of large cells: pairs (a, b, shared) to verify, (cell, id) of cells that replace them, and of those that stay.
+
+    A cell stays if the cells that would replace it give MORE times the rows to pair that its own blocks give.
 
     Let d(x) be in how many shingles x differs from its cell's pivot. x and y of n(x) and n(y) shingles are similar when
     they differ in at most (n(x) + n(y)) * (den - num) / (den + num). With far(x) = (den + num) * d(x) - (den - num) * n(x):
@@ -425,7 +481,17 @@ def _divided(large: DataFrame, rows: DataFrame, shingle: int, threshold: Thresho
     joined = met.join(nearest.select("_pivot", "_block", "_least"), ["_pivot", "_block"])
     joined = joined.where("_far + _least._far <= 0 and part <> _least.part")
     star = joined.select(F.col("_least.id").alias("a"), F.col("id").alias("b"), F.lit(1).cast("bigint").alias("shared"))
-    return keep(star.distinct(), "star"), met.select(F.explode("_first").alias("cell"), "id")
+    entries = met.select("_pivot", F.explode("_first").alias("cell"), "id", "part")
+    replaced = large.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).join(pivots.select("cell", "_pivot"), "cell")
+    before = replaced.groupBy("_pivot").agg(F.sum(_to_pair(F.col("_n"))).alias("_before"))
+    open_ = entries.groupBy("_pivot", "cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("part").alias("_f"), F.max("part").alias("_t")
+    )
+    after = open_.where("_f < _t").groupBy("_pivot").agg(F.sum(_to_pair(F.col("_n"))).alias("_after"))
+    worth = keep(before.join(after, "_pivot", "left").where(f"coalesce(_after, 0) < {MORE} * _before").select("_pivot"), "worth")
+    smaller = entries.join(worth, "_pivot", "left_semi").select("cell", "id")
+    stay = pivots.join(worth, "_pivot", "left_anti").select("cell")
+    return keep(star.distinct(), "star"), smaller, large.join(stay, "cell").select("cell", "id")
 
 
 def _open_pairs(known: DataFrame, unsettled: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
@@ -441,17 +507,10 @@ def _open_pairs(known: DataFrame, unsettled: DataFrame, points: DataFrame, thres
     wanted = left.join(right, "cell").where((F.col("i") <= F.col("j")) & mixed).select(
         "cell", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("_block")
     )
-    blocks = (
-        placed.join(wanted, ["cell", "_block"])
-        .join(points, "id")
-        .select("cell", "i", "j", "_block", F.struct("id", "part", "point").alias("x"))
-    )
-    # Bounded: at most BLOCK points a side.
-    pairs = blocks.groupBy("cell", "i", "j").agg(
-        F.collect_list(F.when(F.col("_block") == F.col("i"), F.col("x"))).alias("left"),
-        F.collect_list(F.when(F.col("_block") == F.col("j"), F.col("x"))).alias("right"),
-    )
-    return pairs.select("left", "right").mapInArrow(_prober(threshold), "a bigint, b bigint").distinct()
+    # Bounded: at most BLOCK points a block.
+    blocks = placed.join(wanted, ["cell", "_block"]).join(points, "id").select("cell", "i", "j", "_block", "id", "part", "point")
+    blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return blocks.mapInArrow(_prober(threshold), "a bigint, b bigint").distinct()
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -516,16 +575,21 @@ def near_duplicates(
     if not apart.isEmpty():
         found = keep(_with(found, _similar(apart, sets, threshold)), "components")
     known, unsettled = _unsettled(members.select("cell", "id"), found)
+    whole = []
     for _ in range(DIVISIONS):
         if unsettled.where(F.col("_n") > BLOCK).isEmpty():
             break
         large = keep(known.join(unsettled.where(F.col("_n") > BLOCK).select("cell"), "cell"), "large")
-        star, smaller = _divided(large, rows, shingle, threshold)
+        star, smaller, stay = _divided(large, rows, shingle, threshold)
+        whole.append(keep(stay, "whole"))
         if not star.isEmpty():
             near = keep(_narrowed(_near(star, points, threshold), rows, shingle, threshold).select("a", "b"), "pairs")
             found = keep(_with(found, _similar(near, _sets(rows, near, shingle), threshold)), "components")
         small = known.join(unsettled.where(F.col("_n") <= BLOCK).select("cell"), "cell").select("cell", "id")
         known, unsettled = _unsettled(small.union(smaller), found)
+    if any(not stay.isEmpty() for stay in whole):
+        rest = known.join(unsettled.select("cell"), "cell").select("cell", "id")
+        known, unsettled = _unsettled(functools.reduce(DataFrame.union, whole, rest), found)
     opened = _open_pairs(known, unsettled, points, threshold)
     opened = keep(_narrowed(opened, rows, shingle, threshold), "open")
     more = _similar(opened, _sets(rows, opened, shingle), threshold)

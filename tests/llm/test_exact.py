@@ -281,6 +281,80 @@ def test_pairs_of_a_cell_grow_with_its_members(spark, monkeypatch):
     assert max(most, most_of_more) <= 8 and more <= 6 * max(few, 60)
 
 
+def test_cells_stay_whole_where_division_gives_more_to_pair(spark, monkeypatch):
+    # Texts of one half in common and of passages from a few others: they share cells, and many differences from any pivot.
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    base = [f"w{i}" for i in range(200)]
+    pool = [[[f"x{part}_{kind}_{i}" for i in range(12)] for kind in range(3)] for part in range(4)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for part in range(4):
+            text[part * 50 : part * 50 + 12] = rng.choice(pool[part])
+        rows.append((i, " ".join(text)))
+    seen, real = [], jaccard._unsettled
+
+    def watch(members, found):
+        known, unsettled = real(members, found)
+        seen.append(unsettled.agg(F.sum(F.col("_n") * F.ceil(F.col("_n") / 8)), F.max("_n")).first())
+        return known, unsettled
+
+    monkeypatch.setattr(jaccard, "_unsettled", watch)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, shingle=5, similarity=(80, 100)).collect()}
+    assert got == linked(rows, 5, 80)
+    assert len(seen) > 1 and seen[0][1] > 8 and seen[-1][0] <= jaccard.MORE * seen[0][0]
+
+
+@pytest.mark.parametrize("records", [1, 5, 64])
+def test_groups_that_cross_arrow_batches(spark, monkeypatch, records):
+    import random
+
+    rows = family(random.Random(records), 60, [0, 1, 2, 3, 5])
+    rows.append((3, rows[50][1] + " more"))
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "DIVISIONS", 0)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, records)
+    try:
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, shingle=3, similarity=(90, 100)).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == linked(rows, 3, 90)
+
+
+def test_points_reach_the_trees_in_small_batches(spark, monkeypatch):
+    """A row has one point, so that a batch does not grow with the cells in it."""
+
+    def measure(threshold):
+        def probe(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                size = sum(c.nbytes for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([batch.num_rows])], names=["a", "b"])
+
+        return probe
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "_prober", measure)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 8)
+    try:
+        known = spark.range(60).selectExpr("7L as cell", "id", "id as part")
+        cells = spark.sql("select 7L as cell, 60L as _n")
+        points = spark.range(60).selectExpr("id", "array_repeat(cast(id as int), 64) as point")
+        sizes = jaccard._open_pairs(known, cells, points, jaccard.Threshold(80, 100)).collect()
+    finally:
+        spark.conf.unset(name)
+    # 60 points of 256 bytes are in ten pairs of blocks; a batch has eight of those rows.
+    assert sizes and max(r.a for r in sizes) <= 8 * 512
+
+
 def test_every_link_comes_out_of_an_index(odd, monkeypatch):
     """Pairs that are verified are those that R-trees gave, less what finer counts exclude."""
     given, verified, links = set(), set(), set()
