@@ -74,10 +74,11 @@ from rankmill.operators.textscore import (
     postings,
     text_field_scores,
     weighted_index,
+    with_position_scores,
     with_text_scores,
 )
 from rankmill.operators.trees import Ensemble, from_dump, score_trees
-from rankmill.plans.dataset import click_labels, dataset, feature_columns, split_xy, testset_labels
+from rankmill.plans.dataset import click_labels, dataset, feature_columns, impression_labels, split_xy, testset_labels
 from rankmill.plans.export import (
     read_group_file,
     read_libsvm,
@@ -175,6 +176,7 @@ __all__ = [
     "train_valid_export",
     "uuid_to_long",
     "with_query_params",
+    "with_position_scores",
     "with_text_scores",
     "write_libsvm",
     "write_table",
