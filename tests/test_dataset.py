@@ -1,4 +1,4 @@
-"""Label rows: scores and features by one move of the positions."""
+"""Label rows: scores and features by one move of the positions, and text exports that are spelled once."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankmill.functions.querystring import SCALAR_PARAMS
 from rankmill.operators import clicks, textscore
 from rankmill.plans import dataset as ds
+from rankmill.plans import export
 from rankmill.sources import catalog
 from rankmill.sources.scratch import keep, scratch_path
 from rankmill.sources.tables import read_table, write_table
@@ -72,3 +73,27 @@ def test_lists_with_one_id_are_scored_as_before(spark, index):
     shown = lists(spark, ["1", "1", None, "2"]).select("gid", "query_params", "joblist", "tokens")
     want = clicks.testset_exploded(textscore.with_text_scores(clicks.testset_lists(shown), index))
     assert rows_of(ds.label_columns(ds.testset_labels(shown, index))) == rows_of(ds.label_columns(want))
+
+
+def test_lines_are_spelled_once_and_read_back_from_compressed_files(spark):
+    spelled = spark.sparkContext.accumulator(0)
+    rows = [(f"g{i % 50:02d}", i // 50, i % 3, f"{i}", i / 7) for i in range(500)]
+    frame = keep(spark.createDataFrame(rows, "gid string, pos_in_list int, rel bigint, job string, f double"))
+
+    def counted(batches):
+        for batch in batches:
+            spelled.add(batch.num_rows)
+            yield batch
+
+    watched = frame.mapInArrow(counted, frame.schema)
+    path, plain = scratch_path(spark, "export"), scratch_path(spark, "plain")
+    made = {}
+    for at, how in ((path, "gzip"), (plain, None)):
+        export.write_libsvm(watched, at, ["f"], index_base=1, compression=how)
+        made[at] = [r.value for r in spark.read.text(f"{at}/rows").collect()], export.read_group_file(spark, f"{at}/query").collect()
+    # Twice for the two exports, once each for the lines, at most twice for the lengths, which are sampled too.
+    assert spelled.value <= 2 * 3 * 500
+    assert made[path] == made[plain] and len(made[path][0]) == 500 and sum(r.length for r in made[path][1]) == 500
+    names = spark.read.text(f"{path}/rows").inputFiles()
+    assert names and all(f.endswith(".gz") for f in names)
+    assert export.read_libsvm(spark, f"{path}/rows", 1).count() == 500
